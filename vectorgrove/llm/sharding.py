@@ -87,7 +87,8 @@ def shard_documents(
         parts = F.create_map(*(F.lit(x) for kv in overfull.items() for x in kv))
         by = F.when(F.col("rng").isin(sorted(one_key)), F.xxhash64("doc_id", F.lit(seed + 1))) if one_key else F.when(F.lit(False), F.lit(0).cast("long"))
         sub = F.coalesce(F.pmod(by.otherwise(F.xxhash64("key", F.lit(seed + 1))), F.get(F.array(parts[F.col("rng")]), F.lit(0))), F.lit(0)).cast("int")
-    placed = ranged.withColumn("sub", sub)
+    # a cut here also keeps the optimiser from deriving filters on cells from how rng and sub are computed
+    placed = checkpoint(ranged.withColumn("sub", sub))
 
     cells = placed.groupBy("rng", "sub").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
     before = Window.orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
