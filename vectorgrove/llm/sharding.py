@@ -30,10 +30,12 @@ def _number_of_splitters_up_to(key: Column, splitters: list[int]) -> Column:
     array = F.expr(f"cast(split('{','.join(map(str, splitters))}', ',') as array<bigint>)")
     steps = [1 << i for i in reversed(range(len(splitters).bit_length()))]
 
-    def step(pos: Column, by: Column) -> Column:
-        return F.when(F.coalesce(F.get(array, pos + by - 1) <= key, F.lit(False)), pos + by).otherwise(pos)
+    def step(acc: Column, by: Column) -> Column:
+        further = F.coalesce(F.get(array, acc.pos + by - 1) <= acc.key, F.lit(False))
+        return F.struct(F.when(further, acc.pos + by).otherwise(acc.pos).alias("pos"), acc.key.alias("key"))
 
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), step)
+    # the key travels with the position, as the optimiser doesn't see columns inside a lambda and would push a filter on them where they don't exist
+    return F.aggregate(F.array(*map(F.lit, steps)), F.struct(F.lit(0).alias("pos"), key.alias("key")), step, lambda acc: acc.pos)
 
 
 def _splitters(sample: list[int], ranges: int) -> list[int]:
@@ -87,13 +89,12 @@ def shard_documents(
         parts = F.create_map(*(F.lit(x) for kv in overfull.items() for x in kv))
         by = F.when(F.col("rng").isin(sorted(one_key)), F.xxhash64("doc_id", F.lit(seed + 1))) if one_key else F.when(F.lit(False), F.lit(0).cast("long"))
         sub = F.coalesce(F.pmod(by.otherwise(F.xxhash64("key", F.lit(seed + 1))), F.get(F.array(parts[F.col("rng")]), F.lit(0))), F.lit(0)).cast("int")
-    # a cut here also keeps the optimiser from deriving filters on cells from how rng and sub are computed
     placed = checkpoint(ranged.withColumn("sub", sub))
 
     cells = placed.groupBy("rng", "sub").agg(F.sum("size").alias("w"), F.count("*").alias("n"))
     before = Window.orderBy("rng", "sub").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(
-        "rng", "sub",
+        F.col("rng").alias("cell_rng"), F.col("sub").alias("cell_sub"),
         F.coalesce(F.sum("w").over(before), F.lit(0)).alias("w0"),
         F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"),
     )
@@ -102,7 +103,7 @@ def shard_documents(
     bound = max(largest, int(group_share * total / shards))
     whole = F.sum("size").over(of_key)
     positioned = (
-        placed.join(F.broadcast(cells), ["rng", "sub"])
+        placed.join(F.broadcast(cells), (F.col("rng") == F.col("cell_rng")) & (F.col("sub") == F.col("cell_sub")))
         .withColumn("start", F.col("w0") + F.sum("size").over(in_cell.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
         .withColumn("place", F.col("n0") + F.row_number().over(in_cell) - 1)
         .withColumn("twice", F.when(whole <= bound, 2 * F.min("start").over(of_key) + whole).otherwise(2 * F.col("start") + F.col("size")))
@@ -110,8 +111,8 @@ def shard_documents(
         .select("doc_id", "size", "text_crc32", "shard", "place")
     )
     positioned = checkpoint(positioned)
-    first = positioned.groupBy("shard").agg(F.min("place").alias("first"))
-    return positioned.join(F.broadcast(first), "shard").select(
+    first = positioned.groupBy(F.col("shard").alias("of")).agg(F.min("place").alias("first"))
+    return positioned.join(F.broadcast(first), F.col("shard") == F.col("of")).select(
         "doc_id",
         "size",
         "text_crc32",
