@@ -18,7 +18,6 @@ again.  No table of the corpus's n-grams is sent anywhere.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -41,20 +40,15 @@ BINS_PER_E = 8
 _LOG_RANGE = 40
 ROUNDS = 40
 
-END = "\x00end"
-_WORDS = re.compile("[^\x20\x09-\x0d]+").findall
-_LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+#: A token of its own kind: words are bytes.
+END = "end"
 
 Hashes = np.ndarray
 
 
-def words_of(text: str) -> list[str]:
-    """A-Z in lower case, cut at ASCII white space, then the end; the end's spelling can't be a word's as hashed."""
-    words = text.lower() if text.isascii() else text.translate(_LOWER)
-    return [*(words.split() if text.isascii() and not _ODD(text) else _WORDS(words)), END]
-
-
-_ODD = re.compile("[\x1c-\x1f]").search
+def words_of(text: str) -> list:
+    """A-Z in lower case, cut at ASCII white space (what bytes take for that), then the end."""
+    return [*text.encode().lower().split(), END]
 
 
 def _mix(a: Hashes, b: Hashes) -> Hashes:
@@ -68,15 +62,15 @@ def _mix(a: Hashes, b: Hashes) -> Hashes:
         return x ^ (x >> np.uint64(32))
 
 
-def _hash_word(word: str) -> int:
-    return xxhash.xxh64_intdigest(b"\x01end" if word is END else word.encode())
+def _hash_word(word: bytes | str) -> int:
+    return xxhash.xxh64_intdigest(word, 1) if word is END else xxhash.xxh64_intdigest(word)
 
 
 class Tokens:
     """Word ids of a chunk's documents in one row, with the hashes of its words and pairs."""
 
     def __init__(self, texts: list[str]):
-        known: dict[str, int] = {}
+        known: dict[bytes | str, int] = {}
         ids: list[np.ndarray] = []
         lengths = np.empty(len(texts), np.int64)
         for i, t in enumerate(texts):
