@@ -59,3 +59,14 @@ def scored(docs: DataFrame, score: Callable[[list[str]], np.ndarray], bar: float
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+
+def filtered(docs: DataFrame, keep: Callable[[list[str]], np.ndarray], text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose texts (null: empty) are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in byte_batches(whole, text_col):
+                yield b.filter(pa.array(keep([t or "" for t in b.column(text_col).to_pylist()])))
+
+    return docs.mapInArrow(run, docs.schema)

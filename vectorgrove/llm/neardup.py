@@ -260,3 +260,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = rows.select("doc_id", "n_shingles", "set_key").join(of_key, F.col("set_key") == F.col("k"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, without those whose component has a smaller id; rows that share an id go or stay together."""
+    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).dropDuplicates()
+    return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")

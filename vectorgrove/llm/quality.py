@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from vectorgrove.llm.labelled import MAX_LABELLED, features_of, labelled_sample, scored, sigmoid
+from vectorgrove.llm.labelled import MAX_LABELLED, features_of, filtered, labelled_sample, scored, sigmoid
 
 #: Pairs in which each labelled document of the rarer label takes part.
 PAIRS_EACH = 40
@@ -118,3 +118,9 @@ def score_documents(docs: DataFrame, model: QualityModel) -> DataFrame:
         return shared.value.score(np.array([text_features(t) for t in texts]))
 
     return scored(docs, score, BAR)
+
+
+def keep_good(docs: DataFrame, model: QualityModel) -> DataFrame:
+    """The documents, with all their columns, that score BAR or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda texts: shared.value.score(np.array([text_features(t) for t in texts])) >= BAR)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from vectorgrove.llm import language_model, mpeg_audio, neardup, packing, quality, sentencepiece_bpe, sharding, topk, toxicity
+from vectorgrove.llm import language_model, mpeg_audio, neardup, packing, quality, sentencepiece_bpe, sharding, topk, toxicity, warc
 from vectorgrove.llm.common import documents, labels
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,3 +76,60 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
+
+
+def captures(pages: DataFrame) -> DataFrame:
+    """Archive records of pages: a full response of each, and a revisit later with one of four kinds of validators."""
+    t = F.expr("page_id * 7919 % 1000003")
+    modified = F.concat(F.lit("t"), (t - F.col("page_id") % 86400).cast("string"))
+    tag = F.concat(F.lit('"'), F.md5(F.col("html").cast("binary")), F.lit('"'))
+    full = pages.select(
+        (F.col("page_id") * 2).alias("record_id"), "url", t.alias("date"), F.lit("response").alias("kind"), F.lit(200).alias("status"), F.md5(F.col("html").cast("binary")).alias("digest"),
+        F.create_map(F.lit("etag"), tag, F.lit("last-modified"), modified, F.lit("cache-control"), F.lit("max-age=60"), F.lit("content-type"), F.lit("text/html")).alias("headers"),
+    )
+    age = F.concat(F.lit("max-age="), (F.col("page_id") % 100).cast("string"))
+    extra = (F.lit("cache-control"), age, F.lit("content-type"), F.lit("text/plain"))
+    validators = (
+        F.when(F.col("page_id") % 4 == 0, F.create_map(F.lit("etag"), tag, *extra))
+        .when(F.col("page_id") % 4 == 1, F.create_map(F.lit("last-modified"), modified, *extra))
+        .when(F.col("page_id") % 4 == 2, F.create_map(F.lit("etag"), F.concat(F.lit("W/"), tag), *extra))
+        .otherwise(F.create_map(*extra))
+    )
+    again = pages.select(
+        (F.col("page_id") * 2 + 1).alias("record_id"), "url", (t + 1 + F.col("page_id") % 5 * 100000).alias("date"), F.lit("revisit").alias("kind"), F.lit(304).alias("status"), F.lit(None).cast("string").alias("digest"), validators.alias("headers"),
+    )
+    return full.unionByName(again)
+
+
+@query
+def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.resolve_revisits(captures(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return found.withColumn("headers", warc.headers_text(F.col("headers")))
+
+
+ORACLES["op10_warc_revisits"] = r"""
+WITH p AS (
+  SELECT page_id, md5(html) AS h, page_id * 7919 % 1000003 AS t, 't' || CAST(page_id * 7919 % 1000003 - page_id % 86400 AS VARCHAR) AS lm,
+    regexp_replace(trim(url), '#.*$', '') AS bare FROM pages),
+u AS (
+  SELECT *, regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[A-Za-z][A-Za-z0-9+.\-]*://([^/?]*)', 1)), '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.', '') AS host,
+    regexp_replace(bare, '^[A-Za-z][A-Za-z0-9+.\-]*://[^/?]*', '') AS rest FROM p),
+q AS (
+  SELECT *, array_to_string(list_sort(list_filter(string_split(regexp_extract(rest, '^[^?]*\?(.*)$', 1), '&'), lambda x: x <> '' AND NOT starts_with(x, 'utm_'))), '&') AS params FROM u),
+s AS (
+  SELECT *, host || regexp_replace(regexp_extract(rest, '^([^?]*)', 1), '/+$', '') || CASE WHEN params <> '' THEN '?' || params ELSE '' END AS site FROM q),
+m AS (
+  SELECT v.page_id AS vid, r.page_id AS rid, v.h AS vh, r.h AS rh, v.lm AS vlm, r.lm AS rlm,
+    row_number() OVER (PARTITION BY v.page_id ORDER BY r.t DESC NULLS LAST, r.page_id DESC) AS n
+  FROM s v LEFT JOIN s r ON v.site = r.site AND r.t < v.t + 1 + v.page_id % 5 * 100000),
+o AS (
+  SELECT *, CASE WHEN rid IS NULL THEN 'missing'
+    WHEN vid % 4 IN (0, 2) THEN CASE WHEN vh = rh THEN 'resolved' ELSE 'mismatch' END
+    WHEN vid % 4 = 1 THEN CASE WHEN vlm = rlm THEN 'resolved' ELSE 'mismatch' END ELSE 'unvalidated' END AS outcome FROM m WHERE n = 1)
+SELECT vid * 2 + 1 AS record_id, outcome,
+  CASE WHEN outcome IN ('resolved', 'unvalidated') THEN rid * 2 END AS refers_to,
+  CASE WHEN outcome IN ('resolved', 'unvalidated') THEN rh END AS digest,
+  CASE WHEN outcome IN ('resolved', 'unvalidated') THEN
+    'cache-control: max-age=' || CAST(vid % 100 AS VARCHAR) || chr(10) || 'content-type: text/html' || chr(10) || 'etag: ' || CASE WHEN vid % 4 = 2 THEN 'W/' ELSE '' END || '"' || CASE WHEN vid % 4 IN (0, 2) THEN vh ELSE rh END || '"' || chr(10) || 'last-modified: ' || rlm END AS headers
+FROM o
+"""
