@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vectorgrove.functions import vectors as V
 from vectorgrove.operators import aggregates, clustering, evaluation, neighbors, pca
+from vectorgrove.plans import indexer, search
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -350,3 +351,66 @@ SELECT 0::BIGINT AS step, p AS vec_id FROM f UNION ALL SELECT 1, p FROM s UNION
 def farthest_points(spark, sf_dir):
     ids, _ = clustering.farthest_points(embeddings(spark, sf_dir), 3)
     return spark.createDataFrame(list(enumerate(ids)), "step long, vec_id long")
+
+
+def _index(spark: SparkSession, sf_dir: str) -> indexer.Index:
+    """Index of the embeddings, with the texts of documents of the same number as content."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("d"), F.col("text").cast("binary").alias("body"))
+    e = embeddings(spark, sf_dir).join(docs, F.col("vec_id") == F.col("d"), "left")
+    items = e.select(F.col("vec_id").alias("idx"), "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"), F.lit("text/plain").alias("media_type"), "body")
+    return indexer.build(indexer.leaves(items))
+
+
+@register("index_blocks")
+def index_blocks(spark, sf_dir):
+    """Ids and sizes of all blocks of the index."""
+    return _index(spark, sf_dir).blocks.select(F.hex("block_id").alias("block_id"), F.length("bytes").alias("size"))
+
+
+@register("index_level_stats")
+def index_level_stats(spark, sf_dir):
+    return indexer.level_stats(_index(spark, sf_dir))
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings(spark, sf_dir).where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("target"))
+
+
+@register("search_best_first")
+def search_best_first(spark, sf_dir):
+    results, _ = search.best_first(_index(spark, sf_dir), _targets(spark, sf_dir), 4, 10)
+    return results.select("qid", "position", F.hex("leaf").alias("leaf"), F.round("score", 6).alias("score"))
+
+
+@register("search_geometry_aware")
+def search_geometry_aware(spark, sf_dir):
+    _, told = search.best_first(_index(spark, sf_dir), _targets(spark, sf_dir), 4, 10, "geometry-aware")
+    return told
+
+
+@register("search_greedy_beam")
+def search_greedy_beam(spark, sf_dir):
+    found = search.greedy_beam(_index(spark, sf_dir), _targets(spark, sf_dir), 4, 10)
+    return found.select("qid", "rk", F.hex("leaf").alias("leaf"), F.round("score", 6).alias("score"))
+
+
+@register("content_ids", "SELECT sha256(text) AS content_id, count(*) AS documents FROM documents GROUP BY 1")
+def content_ids(spark, sf_dir):
+    """Content addresses of documents: equal texts share one."""
+    return table(spark, sf_dir, "documents").groupBy(F.sha2("text", 256).alias("content_id")).agg(F.count("*").alias("documents"))
+
+
+@register(
+    "ambient_delta_codes",
+    f"""WITH x AS ({_EXPLODED}), d AS (SELECT vec_id, label, pos, x - (avg(x) OVER (PARTITION BY label, pos))::FLOAT::DOUBLE AS d FROM x),
+s AS (SELECT *, (max(abs(d)) OVER (PARTITION BY label, pos) / 127)::FLOAT::DOUBLE AS scale FROM d)
+SELECT vec_id, CAST(pos AS BIGINT) AS pos, CAST(greatest(-127, least(127, round_even(d / scale, 0))) AS BIGINT) AS code FROM s""",
+)
+def ambient_delta_codes(spark, sf_dir):
+    """Eight-bit codes of differences from the centroid of each label's block."""
+    w = Window.partitionBy("label", "pos")
+    x = aggregates.exploded(embeddings(spark, sf_dir), "embedding", "vec_id", "label")
+    d = x.withColumn("d", F.col("x") - F.avg("x").over(w).cast("float").cast("double"))
+    s = d.withColumn("scale", (F.max(F.abs("d")).over(w) / 127).cast("float").cast("double"))
+    code = F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(F.col("d") / F.col("scale"))))
+    return s.select("vec_id", F.col("pos").cast("long").alias("pos"), code.cast("long").alias("code"))
