@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from vectorgrove.functions import vectors as V
-from vectorgrove.operators import aggregates, clustering, evaluation, neighbors, pca
+from vectorgrove.operators import aggregates, clustering, evaluation, hierarchy, neighbors, pca
 from vectorgrove.plans import indexer, search
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -414,3 +414,32 @@ def ambient_delta_codes(spark, sf_dir):
     s = d.withColumn("scale", (F.max(F.abs("d")).over(w) / 127).cast("float").cast("double"))
     code = F.greatest(F.lit(-127), F.least(F.lit(127), F.rint(F.col("d") / F.col("scale"))))
     return s.select("vec_id", F.col("pos").cast("long").alias("pos"), code.cast("long").alias("code"))
+
+
+def _label_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf clusters: chunks of 25 vectors in order of label and id, with centroid, members and dispersion."""
+    e = embeddings(spark, sf_dir)
+    chunks = exact_chunks(spark, sf_dir).select(F.col("vec_id").alias("v"), "chunk")
+    s = hierarchy.exact_summaries(e.join(chunks, F.col("vec_id") == F.col("v")), "chunk")
+    return s.select("cluster_id", "centroid", "members", F.col("variance").alias("dispersion"))
+
+
+@register("hierarchy_refinement")
+def hierarchy_refinement(spark, sf_dir):
+    """Refinement ratios of hierarchies by all strategies over the same leaves."""
+    leaves = _label_leaves(spark, sf_dir)
+    out = None
+    for strategy in hierarchy.STRATEGIES:
+        beta = hierarchy.refinement(hierarchy.build(leaves, strategy, 2, 5)).select(F.lit(strategy).alias("strategy"), "node", "parent", F.round("beta", 6).alias("beta"))
+        out = beta if out is None else out.unionByName(beta)
+    return out
+
+
+@register(
+    "label_dispersion",
+    f"""WITH x AS ({_EXPLODED}), m AS (SELECT *, avg(x) OVER (PARTITION BY label, pos) AS mean FROM x)
+SELECT CAST(label AS BIGINT) AS cluster_id, count(DISTINCT vec_id) AS members, round(sum((x - mean) ** 2) / count(DISTINCT vec_id), 6) AS variance FROM m GROUP BY label""",
+)
+def label_dispersion(spark, sf_dir):
+    s = hierarchy.exact_summaries(embeddings(spark, sf_dir), "label")
+    return s.select("cluster_id", "members", F.round("variance", 6).alias("variance"))
