@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from vectorgrove.functions import vectors as V
 from vectorgrove.operators import aggregates, clustering, evaluation, hierarchy, neighbors, pca
 from vectorgrove.plans import indexer, search
+from vectorgrove.session import checkpoint
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -427,7 +428,7 @@ def _label_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("hierarchy_refinement")
 def hierarchy_refinement(spark, sf_dir):
     """Refinement ratios of hierarchies by all strategies over the same leaves."""
-    leaves = _label_leaves(spark, sf_dir)
+    leaves = checkpoint(_label_leaves(spark, sf_dir))
     out = None
     for strategy in hierarchy.STRATEGIES:
         beta = hierarchy.refinement(hierarchy.build(leaves, strategy, 2, 5)).select(F.lit(strategy).alias("strategy"), "node", "parent", F.round("beta", 6).alias("beta"))
