@@ -9,11 +9,12 @@ counts of the other training documents.  Scores then use all training
 documents.
 
 Documents are dealt into chunks by a hash of id and text.  A chunk counts its
-words and word pairs, written as 64-bit hashes (two of a corpus's n-grams
-share one with a chance of about n^2 / 2^65), and sends each part of the
-sorted hashes to the part's owner, which adds the counts of all chunks up and
-answers with totals in the same order.  The chunk then meets its documents
-again.  No table of the corpus's n-grams is sent anywhere.
+words as 64-bit hashes (some of n words share one with a chance of about
+n^2 / 2^65) and word pairs as 48-bit hashes (of n pairs about n^2 / 2^49 share
+one, which adds a count to their like), and sends each part of the sorted
+hashes to the part's owner, which adds the counts of all chunks up and answers
+with totals in the same order.  The chunk then meets its documents again.  No
+table of the corpus's n-grams is sent anywhere.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from vectorgrove.llm.common import byte_batches, checkpoint, fold
 
 #: Text that a chunk holds, on average, in bytes.
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 12_000_000
 #: Hashes that an owner adds up at a time, about.
 PART_ROWS = 400_000
 BUCKETS = 16
@@ -164,7 +165,7 @@ def _documents(rows: pd.DataFrame) -> tuple[list[int | None], np.ndarray, list[s
     return [ids[k] for k in order], fold_of[order], [texts[k] for k in order]
 
 
-def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+def _cuts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of sorted keys, and where each part (an equal span of hashes) begins among them."""
     order = np.argsort(keys, kind="stable")
     spans = [min(-(-(i << 64) // parts), 2**64 - 1) for i in range(1, parts)]
@@ -172,65 +173,80 @@ def _parts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.concatenate([[0], cuts, [len(keys)]]).astype(np.int64)
 
 
+def _parts(t: Tokens, parts: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Each part with the places of its words and pairs among a chunk's keys."""
+    words, word_cuts = _cuts(t.keys[: t.n_words], parts)
+    pairs, pair_cuts = _cuts(t.keys[t.n_words :], parts)
+    for p in range(parts):
+        yield p, words[word_cuts[p] : word_cuts[p + 1]], t.n_words + pairs[pair_cuts[p] : pair_cuts[p + 1]]
+
+
 def _gathered(dealt: DataFrame, parts: int, held_out: int) -> DataFrame:
-    """part, chunk, and the chunk's sorted hashes there with its counts in training and in learning documents."""
+    """part, chunk, its hashes there, and their counts in training and in learning documents."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         chunk = int(rows["chunk"].iloc[0])
         _, folds, texts = _documents(rows)
         t = Tokens(texts)
-        train, learn = t.counts(folds != held_out), t.counts(folds == 3)
-        order, cuts = _parts(t.keys, parts)
-        pairs = (np.arange(len(t.keys)) >= t.n_words)[order]
-        keys, train, learn = t.keys[order], train[order], learn[order]
+        both = np.stack([t.counts(folds != held_out), t.counts(folds == 3)]).astype("<u4")
         out = []
-        for p in range(parts):
-            a, b = cuts[p], cuts[p + 1]
-            if b > a:
-                # the low bit tells pairs from words, the hash keeps the others
-                marked = keys[a:b] & ~np.uint64(1) | pairs[a:b].astype(np.uint64)
-                both = np.concatenate([train[a:b], learn[a:b]]).astype("<u4")
-                out.append((p, chunk, marked.tobytes(), _pack(both)))
-        return pd.DataFrame(out, columns=["part", "chunk", "keys", "counts"])
+        for p, words, pairs in _parts(t, parts):
+            if len(words) + len(pairs):
+                short = t.keys[pairs] >> np.uint64(16)
+                keys = t.keys[words].tobytes() + (short >> np.uint64(16)).astype("<u4").tobytes() + (short & np.uint64(0xFFFF)).astype("<u2").tobytes()
+                out.append((p, chunk, len(words), keys, _pack(both[:, np.concatenate([words, pairs])])))
+        return pd.DataFrame(out, columns=["part", "chunk", "words", "keys", "counts"])
 
-    return dealt.groupBy("chunk").applyInPandas(run, "part int, chunk int, keys binary, counts binary")
+    return dealt.groupBy("chunk").applyInPandas(run, "part int, chunk int, words int, keys binary, counts binary")
 
 
 _TOTALS = "part int, chunk int, counts binary, corpus binary"
 
 
-def _totals(gathered: DataFrame) -> DataFrame:
-    """Corpus counts for each chunk's part, in the chunk's order; and one row for each part of sums over its words."""
+def _totals(gathered: DataFrame, chunks: int) -> DataFrame:
+    """Corpus counts for each chunk's part, in the chunk's order; and one row for each part of sums over its words.
+
+    Chunks of learning documents, from ``chunks`` on, get the counts in these too.
+    """
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         part = int(rows["part"].iloc[0])
-        keys = [np.frombuffer(k, "<u8") for k in rows["keys"]]
         counts = [_unpack(c, "<u4").reshape(2, -1) for c in rows["counts"]]
-        found, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.zeros((2, len(found)), np.int64)
-        both = np.concatenate(counts, axis=1)
-        for i in (0, 1):
-            total[i] = np.bincount(at, weights=both[i], minlength=len(found)).astype(np.int64)
-        words = found & np.uint64(1) == 0
-        sums = [total[0][words].sum(), (total[0][words] > 0).sum(), (total[0] - total[1])[words].sum(), ((total[0] - total[1])[words] > 0).sum()]
-        out, start = [(part, -1, b"", np.array(sums, "<i8").tobytes())], 0
-        for chunk, k in zip(rows["chunk"], keys, strict=True):
-            here = at[start : start + len(k)]
-            start += len(k)
-            out.append((part, int(chunk), _pack(total[:, here].astype("<u4")), b""))
+        words, pairs = [], []
+        for n, keys in zip(rows["words"], rows["keys"], strict=True):
+            words.append(np.frombuffer(keys, "<u8", n))
+            m = (len(keys) - 8 * n) // 6
+            high, low = np.frombuffer(keys, "<u4", m, 8 * n), np.frombuffer(keys, "<u2", m, 8 * n + 4 * m)
+            pairs.append(high.astype(np.uint64) << np.uint64(16) | low)
+        answers = []
+        for keys, given in ((words, [c[:, : len(w)] for c, w in zip(counts, words, strict=True)]), (pairs, [c[:, len(w) :] for c, w in zip(counts, words, strict=True)])):
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            both = np.concatenate(given, axis=1)
+            answers.append((np.stack([np.bincount(at, weights=b) for b in both]).astype(np.int64), at))
+        (total, at_word), (pair_total, at_pair) = answers
+        rest = total[0] - total[1]
+        sums = [total[0].sum(), (total[0] > 0).sum(), rest.sum(), (rest > 0).sum()]
+        out, w0, p0 = [(part, -1, b"", np.array(sums, "<i8").tobytes())], 0, 0
+        for chunk, w, p in zip(rows["chunk"], words, pairs, strict=True):
+            here = np.concatenate([total[:, at_word[w0 : w0 + len(w)]], pair_total[:, at_pair[p0 : p0 + len(p)]]], axis=1)
+            w0, p0 = w0 + len(w), p0 + len(p)
+            out.append((part, int(chunk), _pack(here[: 2 if chunk >= chunks else 1].astype("<u4")), b""))
         return pd.DataFrame(out, columns=["part", "chunk", "counts", "corpus"])
 
     return gathered.groupBy("part").applyInPandas(run, _TOTALS)
 
 
-def _counts_of(t: Tokens, totals: pd.DataFrame, parts: int) -> np.ndarray:
-    """Corpus counts in training and in learning documents of all keys of a chunk."""
-    order, cuts = _parts(t.keys, parts)
-    sorted_counts = np.zeros((2, len(t.keys)), np.int64)
-    for p, c in zip(totals["part"], totals["counts"], strict=True):
-        sorted_counts[:, cuts[p] : cuts[p + 1]] = _unpack(c, "<u4").reshape(2, -1)
-    counts = np.empty_like(sorted_counts)
-    counts[:, order] = sorted_counts
+def _counts_of(t: Tokens, answers: pd.DataFrame, parts: int) -> np.ndarray:
+    """Corpus counts of all keys of a chunk in training documents and, of a learning chunk, in learning ones."""
+    by_part = dict(zip(answers["part"], answers["counts"], strict=True))
+    counts: np.ndarray | None = None
+    for p, words, pairs in _parts(t, parts):
+        n = len(words) + len(pairs)
+        if n:
+            found = _unpack(by_part[p], "<u4").reshape(-1, n)
+            if counts is None:
+                counts = np.zeros((len(found), len(t.keys)), np.int64)
+            counts[:, np.concatenate([words, pairs])] = found
     return counts
 
 
@@ -281,7 +297,7 @@ def score_documents(
     # a pair of words for each six bytes of text
     parts = max(4, -(-(size // 9) // PART_ROWS))
     dealt = _dealt(docs, chunks, folds, id_col, text_col)
-    totals = checkpoint(_totals(_gathered(dealt, parts, held_out)))
+    totals = checkpoint(_totals(_gathered(dealt, parts, held_out), chunks))
     sums = np.sum([np.frombuffer(r.corpus, "<i8") for r in totals.where("chunk = -1").select("corpus").collect()] or [np.zeros(4, np.int64)], axis=0)
     n, v, n_learn, v_learn = (int(x) for x in sums)
     totals = totals.where("chunk >= 0").select("part", "chunk", "counts")
