@@ -21,14 +21,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while True:
         # large star: neighbours above a node go to the smallest of it and its neighbours
-        both = e.select(F.col("lo").alias("u"), F.col("hi").alias("v")).union(e.select(F.col("hi").alias("u"), F.col("lo").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.least(F.min("v"), F.min("u")).alias("m"))
-        large = e.join(least, F.col("lo") == F.col("w")).select("hi", "m").where("hi <> m").dropDuplicates()
+        ends = F.explode(F.array(F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")), F.struct(F.col("hi").alias("u"), F.col("lo").alias("v"))))
+        least = e.select(ends.alias("e")).groupBy(F.col("e.u").alias("w")).agg(F.least(F.min("e.v"), F.min("e.u")).alias("m"))
+        large = e.join(least, F.col("lo") == F.col("w")).select("hi", "m").where("hi <> m")
         # small star: a node and its neighbours below go to the smallest of these
         below = large.groupBy(F.col("hi").alias("w")).agg(F.min("m").alias("least"))
-        joined = large.join(below, F.col("hi") == F.col("w"))
-        small = joined.select(F.col("m").alias("hi"), F.col("least").alias("lo")).union(joined.select("hi", F.col("least").alias("lo"))).where("hi <> lo").dropDuplicates()
-        e = checkpoint(small.select("lo", "hi"))
+        both = F.explode(F.array(F.struct(F.col("m").alias("hi"), F.col("least").alias("lo")), F.struct(F.col("hi").alias("hi"), F.col("least").alias("lo"))))
+        small = large.join(below, F.col("hi") == F.col("w")).select(both.alias("e")).select("e.lo", "e.hi").where("hi <> lo").dropDuplicates()
+        e = checkpoint(small)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("lo", "hi").cast("decimal(38,0)"))).first()
         if now == seen:
             break

@@ -11,11 +11,11 @@ long postings of values that many documents have in common.
 Links are confirmed on full sets.  Classes that share posted values, directly
 or through others, form loose groups.  A task has the full sets of a block of
 a group, or of two blocks; it takes pairs by falling numbers of matches, looks
-at none whose classes are connected already, and returns the links of a
-spanning forest.  Groups of one block are done then.  In larger ones blocks
-are compared within themselves first; then classes outside a group's largest
-component meet all blocks of sizes near enough.  Components of all links
-returned are those of all links.
+at none whose classes are connected already, and returns the component of each
+class.  Groups of one block are done then.  In larger ones, after every block
+has been compared within itself, classes outside a group's largest component
+meet all blocks of sizes near enough, and the links found there join the
+components.
 """
 
 from __future__ import annotations
@@ -151,18 +151,18 @@ def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(ids: list[int], sets: list[np.ndarray], component: list[int], left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
-    """Links of a spanning forest between places ``left`` and ``right``, over components known already.
+def merged(sets: list[np.ndarray], component: list[int], left: np.ndarray, right: np.ndarray) -> dict[int, int]:
+    """The smallest component each of the given ones is joined with by links between places ``left`` and ``right``.
 
     Every pair with MATCHES or more equal coordinates that isn't connected
     when its turn comes is compared on full sets.
     """
-    parent: dict[int, int] = {}
+    parent = {c: c for c in component}
 
     def find(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = parent.get(up, up)
-            x = up
+        while (up := parent[x]) != x:
+            parent[x] = parent[up]
+            x = parent[x]
         return x
 
     signatures = np.array([signature(s) for s in sets])
@@ -172,34 +172,33 @@ def forest(ids: list[int], sets: list[np.ndarray], component: list[int], left: n
     comps = np.array(component)
     at = np.nonzero((matches >= MATCHES) & (100 * small >= PERCENT * large) & (comps[left][:, None] != comps[right][None, :]))
     order = np.argsort(-matches[at].astype(np.int16), kind="stable")
-    links = []
     for x, y in zip(left[at[0][order]].tolist(), right[at[1][order]].tolist(), strict=True):
         a, b = find(component[x]), find(component[y])
         if a != b:
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
             if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
-                parent[a] = b
-                links.append((ids[x], ids[y]))
-    return links
+                parent[max(a, b)] = min(a, b)
+    return {c: find(c) for c in parent}
 
 
-def _forests(rows: DataFrame) -> DataFrame:
-    """Links (a, b) within each task of rows (task, cls, set, component, side): side 0 meets sides 1 and 2, and 2 itself too."""
+def _joined(rows: DataFrame) -> DataFrame:
+    """of, component: what each component of a task's rows (task, cls, set, component, side) is joined with there.
+
+    Side 0 meets side 1; rows of side 2 meet each other.
+    """
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         side = g["side"].to_numpy()
-        links: list[tuple[int, int]] = []
-        if (side != 1).any() and len(g) > 1:
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            if len(left) and len(right):
-                links = forest(g["cls"].tolist(), [_unpack(x) for x in g["set"]], g["component"].tolist(), left, right)
-        return pd.DataFrame(links, columns=["a", "b"])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        component = g["component"].tolist()
+        found = merged([_unpack(x) for x in g["set"]], component, left, right) if len(left) and len(right) else {c: c for c in component}
+        return pd.DataFrame({"of": list(found), "component": list(found.values())})
 
-    return rows.groupBy("task").applyInPandas(run, "a long, b long")
+    return rows.groupBy("task").applyInPandas(run, "of long, component long")
 
 
-def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Links (a, b) between classes, enough for the components of all links."""
+def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, component of every class that shares a posted value with another."""
     postings = checkpoint(prefix_postings(classes))
     centres = postings.groupBy(F.col("token").alias("of")).agg(F.min("cls").alias("centre"))
     loose = connected_components(postings.join(centres, F.col("token") == F.col("of")).select(F.col("centre").alias("a"), F.col("cls").alias("b")))
@@ -214,13 +213,12 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     dealt = dealt.select("cls", "grp", "band", "of_group", "of_band", F.pmod(F.xxhash64("cls"), F.col("of_band")).cast("int").alias("salt"))
     sets = checkpoint(_sets(docs, dealt, id_col, text_col))
     task = F.when(F.col("of_group") == 1, F.xxhash64("grp")).otherwise(F.xxhash64("grp", "band", "salt"))
-    links = checkpoint(_forests(sets.select(task.alias("task"), "cls", "set", F.col("cls").alias("component"), F.lit(2).alias("side"))))
+    first = checkpoint(_joined(sets.select(task.alias("task"), "cls", "set", F.col("cls").alias("component"), F.lit(2).alias("side"))).withColumnRenamed("of", "node"))
 
     large = sets.where("of_group > 1")
     if large.isEmpty():
-        return links
-    known = connected_components(links)
-    large = large.join(known, F.col("cls") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "cls")).drop("node", "component")
+        return first
+    large = large.join(first, F.col("cls") == F.col("node")).withColumnRenamed("component", "comp").drop("node")
     large = checkpoint(large)
     counts = large.groupBy(F.col("grp").alias("g"), "comp").agg(F.count("*").alias("members"))
     largest = counts.groupBy("g").agg(F.max(F.struct("members", "comp")).alias("m")).select("g", F.col("m.comp").alias("main"))
@@ -238,8 +236,10 @@ def _links(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> D
     visits = mates.select(F.col("home").alias("h"), "other").dropDuplicates()
     visitors = probes.withColumn("home", F.xxhash64("grp", "band", "salt")).join(visits, F.col("home") == F.col("h"))
     visitors = visitors.select("home", "other", *columns, F.lit(0).alias("side"))
-    second = _forests(visitors.union(mates).withColumn("task", F.xxhash64("home", "other")).select("task", "cls", "set", "component", "side"))
-    return links.union(second)
+    second = _joined(visitors.union(mates).withColumn("task", F.xxhash64("home", "other")).select("task", "cls", "set", "component", "side"))
+    joined = connected_components(second.select(F.col("of").alias("a"), F.col("component").alias("b")))
+    joined = joined.select(F.col("node").alias("n"), F.col("component").alias("through"))
+    return first.join(joined, F.col("component") == F.col("n"), "left").select("node", F.coalesce("through", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with_id = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = with_id.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "sig")).alias("c"))
     classes = checkpoint(classes.select("set_key", "c.cls", "c.n", "c.sig"))
-    components = connected_components(_links(docs, classes, id_col, text_col))
+    components = _components(docs, classes, id_col, text_col)
     of_key = classes.select(F.col("set_key").alias("k"), "cls").join(components, F.col("cls") == F.col("node"), "left")
     of_key = of_key.select("k", F.coalesce("component", "cls").alias("found"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(of_key, F.col("set_key") == F.col("k"), "left")
