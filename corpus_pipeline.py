@@ -20,6 +20,9 @@ from vectorgrove.session import ensure_checkpoint_dir
 #: No SQL expresses the stages: models are trained, tokens come from a tokenizer.
 ORACLE_SQL: str | None = None
 
+#: Documents whose sets of five-word shingles are this similar, in percent, are near-duplicates.
+NEAR_PERCENT = 80
+
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.keep_good(docs, quality.fit(docs, labels(spark, sf_dir)))
@@ -30,7 +33,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_one(docs)
+    return neardup.keep_one(docs, percent=NEAR_PERCENT)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -190,6 +190,21 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block_rows):
     assert {x.doc_id for x in kept.collect()} == {i for i, (_, c) in want.items() if c == i} | {None}
 
 
+@pytest.mark.parametrize("changed, gone", [(9, True), (11, True), (12, False)])
+def test_pipeline_links_from_80_percent(spark, changed, gone):
+    import corpus_pipeline
+
+    # the last ``changed`` words differ, and with them as many of 100 shingles
+    words = [f"w{i}" for i in range(104)]
+    texts = [" ".join(words), " ".join(words[: 104 - changed] + [f"v{i}" for i in range(changed)])]
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(100)} for t in texts)
+    assert (100 * len(a & b) >= 80 * len(a | b)) == gone and 100 * len(a & b) < 85 * len(a | b)
+    docs = frame(spark, texts)
+    kept = {r.doc_id for r in corpus_pipeline.distinct_documents(spark, docs, "").collect()}
+    assert kept == ({0, None} if gone else {0, 1, None})
+    assert neardup.keep_one(docs).count() == 3
+
+
 def test_near_duplicates_without_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 

@@ -2,11 +2,11 @@
 
 Documents of equal shingle sets form a class, and classes are compared.  A
 signature has K coordinates; each coordinate and value has a posting of the
-classes with it.  Two sets of similarity 0.85 agree in fewer than MATCHES of
-K = 32 coordinates with a chance under 1e-6, so a pair counts only from
-MATCHES on, and then shares one of the K - MATCHES + 1 rarest
-coordinate-values of both: only these prefixes are posted, which skips the
-long postings of values that many documents have in common.
+classes with it.  Two sets of the wanted similarity seldom agree in fewer than
+MATCHES of K = 32 coordinates, so a pair counts only from MATCHES on, and then
+shares one of the K - MATCHES + 1 rarest coordinate-values of both: only these
+prefixes are posted, which skips the long postings of values that many
+documents have in common.
 
 Links are confirmed on full sets.  Classes that share posted values, directly
 or through others, form loose groups.  A task has the full sets of a block of
@@ -33,8 +33,9 @@ from vectorgrove.llm.components import connected_components
 
 WIDTH = 5
 PERCENT = 85
-K, MATCHES = 32, 17
-PREFIX = K - MATCHES + 1
+K = 32
+#: Matches from which a pair is compared, by the least similarity in percent.
+MATCHES = {80: 13, 85: 17}
 #: A block has about this many classes, and shingles, at most; they are dealt into blocks by hash.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 CACHED_WORDS = 300_000
@@ -117,15 +118,16 @@ def signed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_shingles long, set_key binary, sig array<long>")
 
 
-def prefix_postings(classes: DataFrame) -> DataFrame:
-    """token, cls, n: each class under those of its PREFIX rarest coordinate-values that others have too."""
+def prefix_postings(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """token, cls, n: each class under those of its K - MATCHES + 1 rarest coordinate-values that others have too."""
+    prefix = K - MATCHES[percent] + 1
     tokens = classes.select("cls", "n", F.explode("sig").alias("token"))
     shared = tokens.groupBy(F.col("token").alias("common")).agg(F.count("*").alias("df")).where("df > 1")
     hits = tokens.join(shared, F.col("token") == F.col("common")).select("cls", "n", "token", "df")
     of_class = Window.partitionBy("cls")
     ranked = hits.withColumn("r", F.row_number().over(of_class.orderBy("df", "token"))).withColumn("m", F.count("*").over(of_class))
     # values of a class alone come first in its prefix
-    return ranked.where(F.col("r") <= PREFIX - (K - F.col("m"))).select("token", "cls", "n")
+    return ranked.where(F.col("r") <= prefix - (K - F.col("m"))).select("token", "cls", "n")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -151,7 +153,7 @@ def _matches(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def merged(sets: list[np.ndarray], component: list[int], left: np.ndarray, right: np.ndarray) -> dict[int, int]:
+def merged(sets: list[np.ndarray], component: list[int], left: np.ndarray, right: np.ndarray, percent: int = PERCENT) -> dict[int, int]:
     """The smallest component each of the given ones is joined with by links between places ``left`` and ``right``.
 
     Every pair with MATCHES or more equal coordinates that isn't connected
@@ -170,18 +172,18 @@ def merged(sets: list[np.ndarray], component: list[int], left: np.ndarray, right
     matches = _matches(signatures[left], signatures[right])
     small, large = np.minimum(sizes[left][:, None], sizes[right][None, :]), np.maximum(sizes[left][:, None], sizes[right][None, :])
     comps = np.array(component)
-    at = np.nonzero((matches >= MATCHES) & (100 * small >= PERCENT * large) & (comps[left][:, None] != comps[right][None, :]))
+    at = np.nonzero((matches >= MATCHES[percent]) & (100 * small >= percent * large) & (comps[left][:, None] != comps[right][None, :]))
     order = np.argsort(-matches[at].astype(np.int16), kind="stable")
     for x, y in zip(left[at[0][order]].tolist(), right[at[1][order]].tolist(), strict=True):
         a, b = find(component[x]), find(component[y])
         if a != b:
             both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            if 100 * both >= PERCENT * (len(sets[x]) + len(sets[y]) - both):
+            if 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both):
                 parent[max(a, b)] = min(a, b)
     return {c: find(c) for c in parent}
 
 
-def _joined(rows: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, percent: int) -> DataFrame:
     """of, component: what each component of a task's rows (task, cls, set, component, side) is joined with there.
 
     Side 0 meets side 1; rows of side 2 meet each other.
@@ -191,21 +193,21 @@ def _joined(rows: DataFrame) -> DataFrame:
         side = g["side"].to_numpy()
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
         component = g["component"].tolist()
-        found = merged([_unpack(x) for x in g["set"]], component, left, right) if len(left) and len(right) else {c: c for c in component}
+        found = merged([_unpack(x) for x in g["set"]], component, left, right, percent) if len(left) and len(right) else {c: c for c in component}
         return pd.DataFrame({"of": list(found), "component": list(found.values())})
 
     return rows.groupBy("task").applyInPandas(run, "of long, component long")
 
 
-def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
     """node, component of every class that shares a posted value with another."""
-    postings = checkpoint(prefix_postings(classes))
+    postings = checkpoint(prefix_postings(classes, percent))
     centres = postings.groupBy(F.col("token").alias("of")).agg(F.min("cls").alias("centre"))
     loose = connected_components(postings.join(centres, F.col("token") == F.col("of")).select(F.col("centre").alias("a"), F.col("cls").alias("b")))
     sizes = classes.select(F.col("cls").alias("c"), "n").groupBy("c").agg(F.max("n").alias("n"))
     grouped = loose.join(sizes, F.col("node") == F.col("c")).select(F.col("node").alias("cls"), F.col("component").alias("grp"), "n")
     # sizes of one band are similar enough to those of the next band at most
-    grouped = checkpoint(grouped.withColumn("band", F.floor(F.log("n") / float(np.log(100 / PERCENT)) - 1e-9).cast("int")))
+    grouped = checkpoint(grouped.withColumn("band", F.floor(F.log("n") / float(np.log(100 / percent)) - 1e-9).cast("int")))
     blocks = lambda: F.greatest(F.ceil(F.count("*") / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
     groups = grouped.groupBy(F.col("grp").alias("g")).agg(blocks().alias("of_group"))
     bands = grouped.groupBy(F.col("grp").alias("bg"), F.col("band").alias("bb")).agg(blocks().alias("of_band"))
@@ -213,7 +215,7 @@ def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     dealt = dealt.select("cls", "grp", "band", "of_group", "of_band", F.pmod(F.xxhash64("cls"), F.col("of_band")).cast("int").alias("salt"))
     sets = checkpoint(_sets(docs, dealt, id_col, text_col))
     task = F.when(F.col("of_group") == 1, F.xxhash64("grp")).otherwise(F.xxhash64("grp", "band", "salt"))
-    first = checkpoint(_joined(sets.select(task.alias("task"), "cls", "set", F.col("cls").alias("component"), F.lit(2).alias("side"))).withColumnRenamed("of", "node"))
+    first = checkpoint(_joined(sets.select(task.alias("task"), "cls", "set", F.col("cls").alias("component"), F.lit(2).alias("side")), percent).withColumnRenamed("of", "node"))
 
     large = sets.where("of_group > 1")
     if large.isEmpty():
@@ -236,25 +238,27 @@ def _components(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str)
     visits = mates.select(F.col("home").alias("h"), "other").dropDuplicates()
     visitors = probes.withColumn("home", F.xxhash64("grp", "band", "salt")).join(visits, F.col("home") == F.col("h"))
     visitors = visitors.select("home", "other", *columns, F.lit(0).alias("side"))
-    second = _joined(visitors.union(mates).withColumn("task", F.xxhash64("home", "other")).select("task", "cls", "set", "component", "side"))
+    second = _joined(visitors.union(mates).withColumn("task", F.xxhash64("home", "other")).select("task", "cls", "set", "component", "side"), percent)
     joined = connected_components(second.select(F.col("of").alias("a"), F.col("component").alias("b")))
     joined = joined.select(F.col("node").alias("n"), F.col("component").alias("through"))
     return first.join(joined, F.col("component") == F.col("n"), "left").select("node", F.coalesce("through", "component").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row; sets of ``percent`` similarity or more are linked.
 
     A null text counts as empty; texts without words have no shingles and are
     linked with nothing, and with fewer words than WIDTH the whole sequence is
     the one shingle.  Rows that share an id count as one document.  A null id
     takes no part: its component is null and it is kept.
     """
+    if percent not in MATCHES:
+        raise ValueError(f"no number of matches for {percent} percent")
     rows = checkpoint(signed(docs, id_col, text_col))
     with_id = rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
     classes = with_id.groupBy("set_key").agg(F.min(F.struct(F.col("doc_id").alias("cls"), F.col("n_shingles").alias("n"), "sig")).alias("c"))
     classes = checkpoint(classes.select("set_key", "c.cls", "c.n", "c.sig"))
-    components = _components(docs, classes, id_col, text_col)
+    components = _components(docs, classes, id_col, text_col, percent)
     of_key = classes.select(F.col("set_key").alias("k"), "cls").join(components, F.col("cls") == F.col("node"), "left")
     of_key = of_key.select("k", F.coalesce("component", "cls").alias("found"))
     out = rows.select("doc_id", "n_shingles", "set_key").join(of_key, F.col("set_key") == F.col("k"), "left")
@@ -262,7 +266,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """The documents, with all their columns, without those whose component has a smaller id; rows that share an id go or stay together."""
-    gone = near_duplicates(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("gone")).dropDuplicates()
+    gone = near_duplicates(docs, id_col, text_col, percent).where("NOT kept").select(F.col("doc_id").alias("gone")).dropDuplicates()
     return docs.join(gone, F.col(id_col) == F.col("gone"), "left_anti")
