@@ -192,6 +192,19 @@ def test_index_and_search(spark, vectors, version):
         search.best_first(index, queries, 0, 5)
 
 
+@pytest.mark.parametrize("tops", [60, 40])
+def test_large_partitions_split_as_small_ones(spark, tops):
+    """All vectors equal, or so many at the top of the only axis that no cut lies below it."""
+    rows = spark.createDataFrame([(i, "p0", [float(i < tops), 0.0]) for i in range(60)], "idx long, part string, embedding array<float>")
+    p = profiles.profile("0.8.0")
+    large = {r.idx: r.next for r in indexer._split_large(rows, "p0", 60, 2 if tops < 60 else 8, p).collect()}
+    assert large == {r.idx: r.next for r in indexer._split(rows, 2 if tops < 60 else 8, p).collect()}
+    assert len(large) == 60 and len(set(large.values())) > 1
+    if tops == 60:
+        with pytest.raises(ValueError, match="rank 0"):
+            indexer._split_large(rows, "p0", 60, 8, profiles.profile("0.7.0"))
+
+
 def test_streaming_pca(spark, vectors, tmp_path):
     vectors.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

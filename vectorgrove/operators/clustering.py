@@ -21,6 +21,10 @@ from vectorgrove.session import checkpoint
 EPSILON = 1e-12
 
 
+class RankError(ValueError):
+    """The vectors have fewer directions, or less variance on them, than asked for."""
+
+
 @dataclass
 class Centroids:
     """A fitted clustering that assigns by nearest centroid."""
@@ -230,7 +234,7 @@ def directional_pca(
     """
     model = pca.fit(df, vector_col)
     if model.rank < max(1, min_rank) or model.cumulative_variance() < min_cumulative:
-        raise ValueError(f"effective rank {model.rank}")
+        raise RankError(f"effective rank {model.rank}")
     retained = axes or max(1, min(max(model.rank, min_rank), len(model.variance)))
     retained = min(retained, k) if allocation == "centroid" else retained
     model = model.truncate(retained)

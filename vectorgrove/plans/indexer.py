@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from vectorgrove.functions import codecs
 from vectorgrove.operators import clustering, pca
+from vectorgrove.operators.aggregates import balanced_group, rank_in_order
 from vectorgrove.operators.neighbors import distances
 from vectorgrove.plans.profiles import Profile, effective_clusters, profile
 from vectorgrove.session import checkpoint
@@ -79,9 +80,13 @@ def _split_small(x: np.ndarray, k: int, p: Profile) -> np.ndarray:
     return distances(x, centers, "squared").argmin(1)
 
 
-def _ranges(n: int, bound: int, cap: int | None) -> np.ndarray:
+def _groups(n: int, bound: int, cap: int | None) -> int:
     groups = -(-n // bound)
-    groups = max(2, min(groups, cap) if cap else groups)
+    return max(2, min(groups, cap) if cap else groups)
+
+
+def _ranges(n: int, bound: int, cap: int | None) -> np.ndarray:
+    groups = _groups(n, bound, cap)
     return np.repeat(np.arange(groups), [n // groups + (i < n % groups) for i in range(groups)])
 
 
@@ -101,9 +106,20 @@ def _split(rows: DataFrame, bound: int, p: Profile) -> DataFrame:
 
 
 def _split_large(rows: DataFrame, part: str, n: int, bound: int, p: Profile) -> DataFrame:
+    """As _split does it, by distributed jobs."""
     k = effective_clusters(p.clusters, bound, n, p.allocation == "log-bits")
-    model = clustering.directional_pca(rows, k, p.axes, p.allocation, p.binning, p.exact, "idx", "embedding", min_rank=p.min_rank, min_cumulative=p.min_cumulative)
-    return model.assign(rows, "idx", "embedding").select("idx", F.concat(F.lit(part + "."), F.col("cluster_id").cast("string")).alias("next"))
+    try:
+        model = clustering.directional_pca(rows, k, p.axes, p.allocation, p.binning, p.exact, "idx", "embedding", min_rank=p.min_rank, min_cumulative=p.min_cumulative)
+        placed = checkpoint(model.assign(rows, "idx", "embedding").select("idx", "cluster_id"))
+        split = placed.select("cluster_id").distinct().limit(2).count() == 2
+    except clustering.RankError:
+        if not p.rank_zero_fallback:
+            raise
+        split = False
+    if not split:  # in order of items, then
+        groups = _groups(n, bound, p.clusters if p.capped else None)
+        placed = rank_in_order(rows.select("idx"), ["idx"]).select("idx", balanced_group(F.col("place"), n, groups).alias("cluster_id"))
+    return placed.select("idx", F.concat(F.lit(part + "."), F.col("cluster_id").cast("string")).alias("next"))
 
 
 def _assemble(items: DataFrame, encoding: str, is_root: bool) -> DataFrame:
