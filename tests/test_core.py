@@ -205,6 +205,16 @@ def test_large_partitions_split_as_small_ones(spark, tops):
             indexer._split_large(rows, "p0", 60, 8, profiles.profile("0.7.0"))
 
 
+def test_neighbours_of_more_queries_than_a_block(spark, vectors, monkeypatch):
+    monkeypatch.setattr(neighbors, "MAX_BROADCAST_ROWS", 100)
+    monkeypatch.setattr(neighbors.collected, "__defaults__", (100,))
+    ids, x = vectors.toPandas()["vec_id"].to_numpy(), np.array(vectors.toPandas()["embedding"].tolist(), np.float64)
+    d = neighbors.distances(x, x, "cosine")
+    np.fill_diagonal(d, np.inf)
+    want = {(int(ids[q]), rk + 1): int(ids[i]) for q in range(200) for rk, i in enumerate(np.lexsort((ids, d[q]))[:3])}
+    assert {(r.qid, r.rk): r.id for r in neighbors.knn(vectors, vectors, 3).collect()} == want
+
+
 def test_streaming_pca(spark, vectors, tmp_path):
     vectors.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
