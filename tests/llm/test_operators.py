@@ -205,6 +205,12 @@ def test_pipeline_links_from_80_percent(spark, changed, gone):
     assert neardup.keep_one(docs).count() == 3
 
 
+def test_few_near_duplicates_are_missed():
+    for percent, least in neardup.MATCHES.items():
+        p = percent / 100
+        assert 2 * sum(math.comb(neardup.K, i) * p**i * (1 - p) ** (neardup.K - i) for i in range(least)) < 1e-6
+
+
 def test_near_duplicates_without_rows(spark):
     assert neardup.near_duplicates(empty(spark)).count() == 0
 

@@ -34,8 +34,9 @@ from vectorgrove.llm.components import connected_components
 WIDTH = 5
 PERCENT = 85
 K = 32
-#: Matches from which a pair is compared, by the least similarity in percent.
-MATCHES = {80: 13, 85: 17}
+#: Matches from which a pair is compared, by the least similarity in percent.  They are counted twice, on signatures of
+#: 64-bit and of 48-bit hashes; the chance that a pair has fewer in either is under 1e-6.
+MATCHES = {80: 13, 85: 15}
 #: A block has about this many classes, and shingles, at most; they are dealt into blocks by hash.
 BLOCK_ROWS, BLOCK_SHINGLES = 1024, 1_000_000
 CACHED_WORDS = 300_000
