@@ -215,6 +215,15 @@ def test_neighbours_of_more_queries_than_a_block(spark, vectors, monkeypatch):
     assert {(r.qid, r.rk): r.id for r in neighbors.knn(vectors, vectors, 3).collect()} == want
 
 
+@pytest.mark.parametrize("version", ["0.2.0", "0.3.10", "0.4.9"])
+def test_exact_profiles_refuse_fewer_cells(version):
+    x = np.array([[float(i < 40), 0.0] for i in range(60)])
+    p = profiles.profile(version)
+    assert p.exact
+    with pytest.raises(ValueError, match="cells for 4 clusters"):
+        indexer._split_small(x, 4, p)
+
+
 def test_streaming_pca(spark, vectors, tmp_path):
     vectors.repartition(4).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(vectors.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))

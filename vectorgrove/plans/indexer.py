@@ -74,7 +74,7 @@ def _split_small(x: np.ndarray, k: int, p: Profile) -> np.ndarray:
             cuts = clustering.valley_cuts(np.bincount(at, minlength=width), lo, hi, bins[a])
         keys[:, a] = (y[:, a][:, None] > np.array(cuts)[None, :]).sum(1)
     cells, cell = np.unique(keys, axis=0, return_inverse=True)
-    if len(cells) > k:
+    if len(cells) > k or p.exact and len(cells) < k:
         raise ValueError(f"{len(cells)} cells for {k} clusters")
     centers = np.array([x[cell == c].mean(0) for c in range(len(cells))])
     return distances(x, centers, "squared").argmin(1)
