@@ -18,6 +18,20 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def checkpoint_dealt(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
+    """A checkpoint dealt by keys that later joins and groups by these know about, so that the rows stay where they are.
+
+    An adaptive plan doesn't tell how its rows are dealt, so this one isn't.
+    """
+    conf = df.sparkSession.conf
+    adaptive = conf.get("spark.sql.adaptive.enabled")
+    conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return checkpoint(df.repartition(partitions, *keys))
+    finally:
+        conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
