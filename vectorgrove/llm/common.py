@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from vectorgrove.session import checkpoint as _checkpoint
+from vectorgrove.session import checkpoint, checkpoint_dealt  # noqa: F401
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,13 +24,6 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder, then let Spark's cleaner drop shuffle files no longer referred to."""
-    out = _checkpoint(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
 def byte_batches(batch: pa.RecordBatch, text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, of about limit bytes of text each; one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()
