@@ -11,7 +11,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from vectorgrove.llm import language_model, mpeg_audio, neardup, packing, quality, sentencepiece_bpe, sharding, topk, toxicity, warc
+from vectorgrove.llm import language_model, mpeg_audio, neardup, packing, quality, sentencepiece_bpe, sharding, toxicity, warc
 from vectorgrove.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double"
@@ -280,30 +280,6 @@ def test_classifiers_without_labels(spark):
     assert quality.score_documents(empty(spark), quality.fit(docs, labels)).count() == 0
 
 
-def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "BLOCK_ROWS", 37)
-    monkeypatch.setattr(topk, "QUERY_ROWS", 3)
-    r = np.random.default_rng(8)
-    rows = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(300, 6)))]
-    rows += [(300 + i, rows[0][1]) for i in range(20)] + [(400, None), (401, [float("nan")] * 6), (402, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (None, [1.0] * 6), (rows[5][0], rows[5][1]), (403, [1.0])]
-    vectors = topk.components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
-    found = topk.exact_top_k(vectors, vectors.where("vec_id % 50 = 0"), 5).collect()
-    ints = {i: np.floor(np.array(v) * 256).astype(int) for i, v in rows if i is not None and i < 400}
-    for q in (i for i in ints if i % 50 == 0):
-        want = sorted(((-int(ints[q] @ v), i) for i, v in ints.items() if i != q))[:5]
-        assert [(r.rank, r.vec_id, r.score) for r in sorted((x for x in found if x.query_id == q), key=lambda x: x.rank)] == [(k + 1, i, -s) for k, (s, i) in enumerate(want)]
-    assert topk.exact_top_k(vectors.limit(0), vectors.limit(0)).count() == 0
-
-
-def test_top_k_stops_early_and_right():
-    r = np.random.default_rng(9)
-    x = np.floor(r.normal(size=(500, 4)) ** 3 * 50).astype(np.int64)
-    for q in range(5):
-        want = sorted(((-int(x[q] @ x[i]), i) for i in range(500) if i != q))[:3]
-        got = topk.top_of_block(np.array([q]), x[q : q + 1], np.arange(500), x, 3)
-        assert [(-s, i) for _, i, s in got] == want
-
-
 def test_revisits(spark):
     tag = {"etag": '"1"'}
     rows = [
