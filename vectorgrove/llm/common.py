@@ -24,6 +24,14 @@ def fold(id_col: str, parts: int) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def fresh_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def byte_batches(batch: pa.RecordBatch, text: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch, of about limit bytes of text each; one row at least."""
     lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_pylist()

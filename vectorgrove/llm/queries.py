@@ -78,6 +78,26 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+ORACLES["op4_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+    ELSE list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')) END) AS shingle FROM w),
+n AS (SELECT doc_id, count(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS whole FROM s GROUP BY doc_id),
+c AS (SELECT whole, min(doc_id) AS cls, any_value(n) AS n FROM n GROUP BY whole),
+t AS (SELECT s.doc_id AS cls, shingle, n FROM s JOIN c ON s.doc_id = c.cls),
+l AS (
+  SELECT a.cls AS a, b.cls AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.cls < b.cls
+  GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r AS (SELECT cls AS node, cls AS at FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.at),
+m AS (SELECT node, min(at) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept
+FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON n.whole = c.whole LEFT JOIN m ON c.cls = m.node
+"""
+
+
 def captures(pages: DataFrame) -> DataFrame:
     """Archive records of pages: a full response of each, and a revisit later with one of four kinds of validators."""
     t = F.expr("page_id * 7919 % 1000003")
