@@ -91,8 +91,8 @@ l AS (
   SELECT a.cls AS a, b.cls AS b FROM t a JOIN t b ON a.shingle = b.shingle AND a.cls < b.cls
   GROUP BY a.cls, b.cls, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
-r AS (SELECT cls AS node, cls AS at FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.at),
-m AS (SELECT node, min(at) AS component FROM r GROUP BY node)
+r AS (SELECT cls AS node, cls AS reached FROM c UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reached),
+m AS (SELECT node, min(reached) AS component FROM r GROUP BY node)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(m.component, d.doc_id) AS component_id, coalesce(m.component, d.doc_id) = d.doc_id AS kept
 FROM documents d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN c ON n.whole = c.whole LEFT JOIN m ON c.cls = m.node
 """

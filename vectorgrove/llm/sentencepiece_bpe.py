@@ -18,6 +18,7 @@ import hashlib
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -25,9 +26,11 @@ from pyspark.sql import DataFrame, functions as F
 from vectorgrove.llm.common import byte_batches
 
 SPACE = "▁"
-#: Words of which a worker keeps the ids; more only cost time.
-CACHED_WORDS = 300_000
+#: Words of at most so many characters of which a worker keeps the ids, and pairs of tokens of which it keeps whether they fit; more only cost time.
+CACHED_WORDS, LONG_WORD, CACHED_PAIRS = 200_000, 64, 200_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
+#: In place of ids: a character outside the vocabulary, and no token.
+_OTHER, _NONE = -1, -2
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -102,17 +105,22 @@ class Codec:
         self._tokens = set(tokens)
         self._automaton = ahocorasick.Automaton()
         for p in tokens:
-            self._automaton.add_word(p, len(p))
+            self._automaton.add_word(p, self._id[p])
         self._automaton.make_automaton()
-        #: The longest token that is a shorter prefix of a token.
-        self._shorter = {p: next((p[:n] for n in range(len(p) - 1, 0, -1) if p[:n] in self._tokens), "") for p in tokens}
-        self._pairs: dict[tuple[str, str], bool] = {}
+        #: By id, and _OTHER for a character outside the vocabulary: a token's length, and the longest token that is a shorter prefix of it.
+        self._length = [len(p) for p in m.pieces] + [1]
+        self._shorter = [_NONE] * (len(m.pieces) + 1)
+        for p in tokens:
+            self._shorter[self._id[p]] = next((self._id[p[:n]] for n in range(len(p) - 1, 0, -1) if p[:n] in self._tokens), _NONE)
+        #: Whether tokens may follow each other, by the first one's id times the number of pieces, plus the second one's.
+        self._pairs: dict[int, bool] = {}
         #: When each token is made, by score; going back in time needs parts made before wholes.
         made = {p: self._score[p] for p in self._split if p in self._tokens}
         self._made = made.get
         self._ordered = all(s <= min(made.get(a, _NEVER), made.get(b, _NEVER)) for (a, b), s in ((self._split[p], s) for p, s in made.items()))
         self._chunks = self._chunk_pattern(tokens)
-        self._words: dict[str, tuple[int, ...]] = {}
+        #: Ids by chunk, for chunks of at most LONG_WORD characters.
+        self._words: dict[str, list[int]] = {}
 
     @staticmethod
     def _chunk_pattern(tokens: list[str]):
@@ -153,14 +161,12 @@ class Codec:
         self._split[piece] = (symbols[0], symbols[1])
         return True
 
-    def _compatible(self, left: str, right: str) -> bool:
-        """Whether merging left + right anew leaves both as they are."""
-        known = self._pairs.get((left, right))
-        if known is None:
-            if len(self._pairs) > 200_000:
-                self._pairs.clear()
-            known = self._unmerged(left, right) if self._ordered else self._merge(left + right) == [left, right]
-            self._pairs[left, right] = known
+    def _compatible(self, pair: int) -> bool:
+        """Whether merging the texts of two tokens anew leaves both as they are."""
+        if len(self._pairs) > CACHED_PAIRS:
+            self._pairs.clear()
+        left, right = (self.model.pieces[i] for i in divmod(pair, len(self.model.pieces)))
+        known = self._pairs[pair] = self._unmerged(left, right) if self._ordered else self._merge(left + right) == [left, right]
         return known
 
     def _unmerged(self, left: str, right: str) -> bool:
@@ -185,61 +191,64 @@ class Codec:
             else:
                 limit, leftmost, right = b, True, split[right][0]
 
-    def _tokens_of(self, text: str) -> list[str]:
-        n = len(text)
-        longest = [0] * n
-        for end, size in self._automaton.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
-        failed, out, starts, at = bytearray(n + 1), [], [], 0
-        token = text[: longest[0]] if longest[0] else text[:1]
-        shorter, compatible = self._shorter, self._compatible
+    def _tokens_of(self, text: str) -> list[int]:
+        """Ids of the token sequence that merging makes; _OTHER for characters outside the vocabulary, which nothing merges with."""
+        n, many = len(text), len(self.model.pieces)
+        length, shorter, known = self._length, self._shorter, self._pairs.get
+        longest = [_OTHER] * n
+        for end, i in self._automaton.iter(text):
+            # longer matches from a place end, and come, later
+            longest[end + 1 - length[i]] = i
+        failed, out, at, before = bytearray(n // 8 + 1), [], 0, _OTHER
+        token = longest[0]
         while at < n:
-            found = False
-            while token:
-                end = at + len(token)
-                if not failed[end] and (not out or compatible(out[-1], token)):
-                    found = True
-                    break
-                token = shorter.get(token, "")
-            if found:
+            while token != _NONE:
+                end = at + length[token]
+                if not failed[end >> 3] >> (end & 7) & 1:
+                    if before == _OTHER or token == _OTHER:
+                        break
+                    pair = before * many + token
+                    fits = known(pair)
+                    if fits or fits is None and self._compatible(pair):
+                        break
+                token = shorter[token]
+            if token != _NONE:
                 out.append(token)
-                starts.append(at)
-                at = end
+                at, before = end, token
                 if at < n:
-                    token = text[at : at + longest[at]] if longest[at] else text[at]
+                    token = longest[at]
             else:
-                failed[at] = 1
+                failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise ValueError("no token sequence is compatible")
-                token, at = out.pop(), starts.pop()
-                token = shorter.get(token, "")
+                token = out.pop()
+                at -= length[token]
+                token, before = shorter[token], out[-1] if out else _OTHER
         return out
 
-    def _word(self, word: str) -> tuple[int, ...]:
-        ids: list[int] = []
-        for t in self._tokens_of(word):
-            i = self._id.get(t)
-            if i is None:
-                ids.extend(self._bytes[b] for b in t.encode())
-            else:
-                ids.append(i)
-        if len(self._words) >= CACHED_WORDS:
-            self._words.clear()
-        found = self._words[word] = tuple(ids)
-        return found
+    def _word(self, word: str) -> list[int]:
+        ids = self._tokens_of(word)
+        if _OTHER in ids:
+            tokens, ids, at = ids, [], 0
+            for i in tokens:
+                if i == _OTHER:
+                    ids.extend(self._bytes[b] for b in word[at].encode())
+                else:
+                    ids.append(i)
+                at += self._length[i]
+        if len(word) <= LONG_WORD:
+            if len(self._words) >= CACHED_WORDS:
+                self._words.clear()
+            self._words[word] = ids
+        return ids
 
     def encode(self, text: str, end: bool = True) -> list[int]:
         """Ids of the whole text; an empty one has the end id only."""
         ids: list[int] = []
         if text:
             text = (" " if self.model.add_dummy_prefix else "") + text
-            text = text.replace(" ", SPACE)
-            known = self._words.get
-            for word in self._chunks(text):
-                if word:
-                    ids.extend(known(word) or self._word(word))
+            known, new = self._words.get, self._word
+            ids.extend(chain.from_iterable([known(word) or new(word) for word in self._chunks(text.replace(" ", SPACE)) if word]))
         if end:
             ids.append(self.model.end_id)
         return ids
@@ -298,7 +307,12 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 
 
 def encode_documents(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """Encode every text (null: empty), decode the ids again, and return digests of both; ``with_ids`` adds the ids."""
+    """Encode every text (null: empty), decode the ids again, and return digests of both; ``with_ids`` adds the ids.
+
+    Texts of any length are encoded whole.  Repeated rows give repeated
+    results, an empty table gives none, and a null id stays null.  Columns but
+    the two named are not read, whatever their names.
+    """
     with open(model_path, "rb") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = DIGEST.append(pa.field("ids", pa.list_(pa.int32()))) if with_ids else DIGEST
