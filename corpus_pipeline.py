@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vectorgrove.llm import neardup, packing, quality, toxicity
 from vectorgrove.llm.common import documents, labels
-from vectorgrove.session import ensure_checkpoint_dir
+from vectorgrove.session import ensure_checkpoint_dir, remove
 
 #: No SQL expresses the stages: models are trained, tokens come from a tokenizer.
 ORACLE_SQL: str | None = None
@@ -49,11 +49,17 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written to the shared folder before the next reads it."""
+    """The stages one after the other, each written to the shared folder before the next reads it, and deleted when that one is written.
+
+    The rows returned come from what the last but one wrote, which stays.
+    """
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
-    docs = documents(spark, sf_dir)
+    docs, before = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

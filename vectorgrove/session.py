@@ -37,3 +37,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         configured = sc.getConf().get("spark.checkpoint.dir")
         sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="checkpoint-"))
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that nothing reads any more, on whichever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
