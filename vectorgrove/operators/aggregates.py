@@ -32,7 +32,7 @@ def occupancy_stats(occ: DataFrame) -> DataFrame:
     return occ.agg(F.avg("total").alias("mean"), F.stddev_pop("total").alias("stddev"), F.min("total").alias("least"), F.max("total").alias("largest"))
 
 
-def rank_in_order(df: DataFrame, order: list, name: str = "place", buckets: int = 64) -> DataFrame:
+def rank_in_order(df: DataFrame, order: list, name: str = "place", buckets: int | None = None) -> DataFrame:
     """0-based rank in a total order without a single-task sort.
 
     Rows are put into ranges of the order, ranked within each, and moved on by
@@ -40,6 +40,7 @@ def rank_in_order(df: DataFrame, order: list, name: str = "place", buckets: int
     """
     from vectorgrove.session import checkpoint
 
+    buckets = buckets or max(64, df.count() // 1_000_000)
     ranged = checkpoint(df.repartitionByRange(buckets, *order).withColumn("_range", F.spark_partition_id()))
     before = Window.orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(F.col("_range").alias("_r")).agg(F.count("*").alias("_n"))

@@ -19,8 +19,14 @@ def quantization_error(values: DataFrame, by: list[str]) -> DataFrame:
 
     Codes are rounded half away from zero; a range of 0 has no error.
     """
-    w = Window.partitionBy(*by, "pos")
-    r = values.withColumn("lo", F.min("x").over(w)).withColumn("span", F.max("x").over(w) - F.col("lo"))
+    keys = [*by, "pos"]
+    ends = values.groupBy(*(F.col(k).alias(f"_{k}") for k in keys)).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # without groups there is a row for each component
+    ends = ends.withColumn("span", F.col("hi") - F.col("lo")) if by else F.broadcast(ends.withColumn("span", F.col("hi") - F.col("lo")))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    r = values.join(ends, on)
     share = F.least(F.greatest((F.col("x") - F.col("lo")) / F.col("span"), F.lit(0.0)), F.lit(1.0))
     back = F.col("lo") + F.floor(share * 255 + 0.5) / 255 * F.col("span")
     err = F.when(F.col("span") > 0, (F.col("x") - back) * (F.col("x") - back)).otherwise(0.0)

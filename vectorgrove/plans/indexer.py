@@ -33,6 +33,8 @@ class Index:
     blocks: DataFrame
     #: parent, level, pos, child, child_level, embedding
     edges: DataFrame
+    #: Children of a block, at most.
+    bound: int = 0
 
 
 def leaves(items: DataFrame) -> DataFrame:
@@ -100,6 +102,12 @@ def _split(rows: DataFrame, bound: int, p: Profile) -> DataFrame:
         cluster = _split_small(x, k, p)
         if len(np.unique(cluster)) < 2:  # in order of items, then
             cluster = _ranges(len(x), bound, p.clusters if p.capped else None)
+        else:  # those alone join the largest
+            found, at, size = np.unique(cluster, return_inverse=True, return_counts=True)
+            if size.max() > 1:
+                cluster = np.where(size[at] == 1, found[size.argmax()], cluster)
+                if len(np.unique(cluster)) < 2:
+                    cluster = _ranges(len(x), bound, p.clusters if p.capped else None)
         return pd.DataFrame({"idx": g["idx"], "next": g["part"] + "." + pd.Series(cluster).astype(str)})
 
     return rows.groupBy("part").applyInPandas(run, "idx long, next string")
@@ -144,6 +152,47 @@ def _assemble(items: DataFrame, encoding: str, is_root: bool) -> DataFrame:
     return items.groupBy("part").applyInPandas(run, spec)
 
 
+def _clustered(layer: DataFrame, bound: int, p: Profile) -> DataFrame:
+    """idx, part: contiguous ranges of items by cluster, clusters by their first item; those of one item go to the largest."""
+    n = layer.count()
+    model = clustering.spherical_kmeans(layer, max(1, min(p.clusters, n // 2)), id_col="idx")
+    placed = checkpoint(model.assign(layer, "idx", "embedding").select("idx", "cluster_id"))
+    # a row for each cluster
+    sizes = placed.groupBy("cluster_id").agg(F.count("*").alias("n"), F.min("idx").alias("first")).collect()
+    main = max(sizes, key=lambda r: (r.n, -r.first))
+    first = {r.cluster_id: r.first if r.n > 1 else main.first for r in sizes}
+    order = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("cluster_id"))
+    ranked = rank_in_order(placed.select("idx", order.alias("of")), ["of", "idx"])
+    return ranked.select("idx", F.concat(F.lit("p0."), balanced_group(F.col("place"), n, -(-n // bound)).cast("string")).alias("part"))
+
+
+def _packed(x: np.ndarray, bound: int) -> np.ndarray:
+    """Groups of balanced sizes: the first item left, and those nearest to it, ties to the earlier one."""
+    n = len(x)
+    groups = -(-n // bound)
+    out, left = np.full(n, -1), np.arange(n)
+    for g in range(groups):
+        size = n // groups + (g < n % groups)
+        near = np.argsort(distances(x[left[1:]], x[left[:1]], "squared")[:, 0], kind="stable")[: size - 1] + 1 if size > 1 else np.zeros(0, int)
+        out[left[np.append(0, near)]] = g
+        left = np.delete(left, np.append(0, near))
+    return out
+
+
+def _by_clusters(layer: DataFrame, bound: int, p: Profile, is_leaves: bool) -> DataFrame:
+    """The layer with its parts: leaves by clusters; nodes above by greedy packing, or by clusters where they are many."""
+    if is_leaves or layer.count() > LOCAL_ITEMS:
+        parts = _clustered(layer, bound, p)
+    else:
+
+        def run(g: pd.DataFrame) -> pd.DataFrame:
+            g = g.sort_values("idx", ignore_index=True)
+            return pd.DataFrame({"idx": g["idx"], "part": "p0." + pd.Series(_packed(np.array(g["embedding"].tolist(), np.float64), bound)).astype(str)})
+
+        parts = layer.withColumn("part", F.lit("p0")).groupBy("part").applyInPandas(run, "idx long, part string")
+    return layer.join(parts.withColumnRenamed("idx", "i"), F.col("idx") == F.col("i")).drop("i")
+
+
 def build(leaf_nodes: DataFrame, version: str = "0.8.0", block_size: int = 16_384) -> Index:
     """Index of leaf nodes (leaves()); equal items give equal blocks, whatever the partitions of the input."""
     p = profile(version)
@@ -156,8 +205,9 @@ def build(leaf_nodes: DataFrame, version: str = "0.8.0", block_size: int = 16_38
     all_blocks, edges = nodes.select(F.col("child").alias("block_id"), "bytes"), None
     layer = nodes.select("idx", "child", "level", "n", "embedding")
     while layer.limit(2).count() > 1:
-        parts = checkpoint(layer.withColumn("part", F.lit("p0")))
-        while True:
+        by_clusters = p.algorithm == "spherical-kmeans"
+        parts = checkpoint(_by_clusters(layer, bound, p, edges is None) if by_clusters else layer.withColumn("part", F.lit("p0")))
+        while not by_clusters:
             counts = parts.groupBy(F.col("part").alias("of")).agg(F.count("*").alias("members")).where(F.col("members") > bound)
             large = {r.of: r.members for r in counts.where(F.col("members") > LOCAL_ITEMS).collect()}
             if not large and counts.isEmpty():
@@ -174,7 +224,7 @@ def build(leaf_nodes: DataFrame, version: str = "0.8.0", block_size: int = 16_38
         more = made.where("members IS NOT NULL").select(F.col("child").alias("parent"), "level", F.posexplode("members").alias("pos", "m")).select("parent", "level", "pos", "m.child", "m.child_level", "m.embedding")
         edges = more if edges is None else edges.unionByName(more)
         layer = made.select("idx", "child", "level", "n", "embedding")
-    return Index(bytes(layer.first().child), all_blocks.dropDuplicates(["block_id"]), edges)
+    return Index(bytes(layer.first().child), all_blocks.dropDuplicates(["block_id"]), edges, bound)
 
 
 def level_stats(index: Index) -> DataFrame:

@@ -15,7 +15,10 @@ from vectorgrove.session import checkpoint
 def _entries(index: Index, wanted: DataFrame, queries: DataFrame) -> DataFrame:
     """Scored entries of blocks (qid, block, depth): qid, child, level (of the containing block, 0 for leaves), depth, score, embedding."""
     e = index.edges.select("parent", "child", F.col("level").alias("in_level"), "child_level", "embedding")
-    found = wanted.join(e, F.col("block") == F.col("parent")).join(queries.select(F.col("qid").alias("q"), "target"), F.col("qid") == F.col("q"))
+    # a block that isn't there is an error, not an end of the search
+    e = e.withColumn("there", F.lit(True))
+    found = wanted.join(e, F.col("block") == F.col("parent"), "left").withColumn("child", F.when(F.col("there"), F.col("child")).otherwise(F.raise_error(F.lit("missing block")).cast("binary")))
+    found = found.join(queries.select(F.col("qid").alias("q"), "target"), F.col("qid") == F.col("q"))
     level = F.when(F.col("child_level") == 0, 0).otherwise(F.col("in_level"))
     return found.select("qid", "child", level.alias("level"), "depth", V.cosine(F.col("target"), F.col("embedding")).alias("score"), "embedding")
 

@@ -87,13 +87,26 @@ class BlockTable:
         return self.blocks().select("block_id").distinct()
 
     def compact(self, files: int) -> None:
-        """Rewrite into so many files, in order of ids, and swap the folders."""
+        """Rewrite into so many files, in order of ids, and swap the folders; the old one goes last.
+
+        Where a swap was cut short, the store is whole in the folder put aside, which ``recover`` brings back.
+        """
         jvm = self.spark.sparkContext._jvm
-        old, new = jvm.org.apache.hadoop.fs.Path(self.path), jvm.org.apache.hadoop.fs.Path(self.path + ".compacted")
+        old, new, aside = (jvm.org.apache.hadoop.fs.Path(self.path + end) for end in ("", ".compacted", ".old"))
         self.blocks().repartitionByRange(files, "block_id").sortWithinPartitions("block_id").write.mode("overwrite").parquet(self.path + ".compacted")
         fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        fs.rename(new, old)
+        fs.delete(aside, True)
+        if not fs.rename(old, aside) or not fs.rename(new, old):
+            raise OSError(f"{self.path} couldn't be swapped")
+        fs.delete(aside, True)
+
+    def recover(self) -> None:
+        """After a compaction that was cut short: the folder put aside becomes the store where there is none."""
+        jvm = self.spark.sparkContext._jvm
+        old, aside = (jvm.org.apache.hadoop.fs.Path(self.path + end) for end in ("", ".old"))
+        fs = old.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not fs.exists(old) and fs.exists(aside):
+            fs.rename(aside, old)
 
 
 def overlay(layers: list[DataFrame]) -> DataFrame:
