@@ -67,10 +67,11 @@ def test_harvest_wants_enough(spark):
 
 
 def test_entries_of_branches_and_broken_blocks(spark):
-    data = branch_bytes(1, 2, "f32le", [(np.array([i, 1], "<f4").tobytes(), bytes([i]) * 32) for i in range(3)])
+    pairs = sorted((np.array([i, 1], "<f4").tobytes(), bytes([i]) * 32) for i in range(3))  # the order of a branch is that of bytes
+    data = branch_bytes(1, 2, "f32le", pairs)
     table = lambda key, b: spark.createDataFrame([(key, b)], "block_id binary, bytes binary")
     rows = typed.entries(table(block_id(data), data)).collect()
-    assert [(r.pos, r.embedding, bytes(r.child), r.metadata) for r in rows] == [(i, [float(i), 1.0], bytes([i]) * 32, None) for i in range(3)]
+    assert [(r.pos, r.embedding, bytes(r.child), r.metadata) for r in rows] == [(i, np.frombuffer(e, "<f4").tolist(), c, None) for i, (e, c) in enumerate(pairs)]
     for key, b in ((bytes(32), data), (block_id(data), None)):
         with pytest.raises(Exception, match="block"):
             typed.entries(table(key, b)).collect()
