@@ -18,6 +18,7 @@ from vectorgrove.functions import codecs
 from vectorgrove.operators import clustering, pca
 from vectorgrove.operators.aggregates import balanced_group, rank_in_order
 from vectorgrove.operators.neighbors import distances
+from vectorgrove.plans import checks
 from vectorgrove.plans.profiles import Profile, effective_clusters, profile
 from vectorgrove.session import checkpoint
 from vectorgrove.sources import blocks
@@ -193,13 +194,18 @@ def _by_clusters(layer: DataFrame, bound: int, p: Profile, is_leaves: bool) -> D
     return layer.join(parts.withColumnRenamed("idx", "i"), F.col("idx") == F.col("i")).drop("i")
 
 
-def build(leaf_nodes: DataFrame, version: str = "0.8.0", block_size: int = 16_384) -> Index:
-    """Index of leaf nodes (leaves()); equal items give equal blocks, whatever the partitions of the input."""
+def build(leaf_nodes: DataFrame, version: str = "0.8.0", block_size: int = 16_384, strict: bool = False) -> Index:
+    """Index of leaf nodes (leaves()); equal items give equal blocks, whatever the partitions of the input.
+
+    Clusters beyond what fits into a block are left out, or refused if ``strict``.
+    """
     p = profile(version)
     nodes = checkpoint(leaf_nodes)
     first = nodes.select("embedding").first()
     if first is None:
         raise ValueError("no items")
+    if strict:
+        checks.check_profile(version, len(first[0]), "f32le", block_size)
     bound = blocks.capacity(len(first[0]), block_size)
     bound = min(bound, p.clusters) if p.capped else bound
     all_blocks, edges = nodes.select(F.col("child").alias("block_id"), "bytes"), None
