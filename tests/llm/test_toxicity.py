@@ -75,6 +75,19 @@ def test_pattern_voters(text, name):
     assert voting.seen("plain words " * 20)[0][tx.VOTERS.index(name)] == tx.ABSTAIN
 
 
+def test_shouting_counts_letters_of_whole_texts():
+    voting, at = tx.Voting({"0slug": 4.0}), tx.VOTERS.index("shouting")
+    loud = "HE SAID LOUD THINGS TO ALL OF THEM " * 20
+    r = np.random.default_rng(8)
+    texts = ["then " + loud, "quiet words " * 17 + loud, loud + "quiet words " * 400, "ÀÉÎÕÜÑÇ " * 9 + "été ", "ÀÉÎÕÜÑÇ " * 9 + "àéîõüñç " * 10, "A" * 20, "A" * 21, "A" * 21 + "b" * 21]
+    texts += ["".join(r.choice(list("ABCdefÀßéΩω1 ǅ字ª"), 90)) for _ in range(200)]
+    for text in texts:
+        capitals = sum(c.isupper() for c in text)
+        want = capitals > 20 and capitals > sum(c.islower() for c in text)
+        assert (voting.seen(text)[0][at] == tx.TOXIC) == want, text
+    assert voting.seen(texts[0])[0][at] == tx.TOXIC != voting.seen(texts[2])[0][at]
+
+
 def test_lexicon_voters_abstain_below_the_share():
     voting = tx.Voting({"0slug": 4.0, "1slug": 2.0})
     votes = {n: dict(zip(tx.VOTERS, voting.seen("slug " + "word " * n)[0], strict=True)) for n in (1, 1000)}

@@ -67,6 +67,20 @@ _LONE = re.compile(r"[ .\-_][^\W\d_][ .\-_][^\W\d_][ .\-_]").search
 _ODD = re.compile(r"[*#@$%!?]").search
 _MARKS = re.compile(r"[!?]{2,}").search
 _STRETCHED = re.compile(r"([^\W\d_])\1{3,}").search
+_BEYOND_ASCII = re.compile(r"[^\x00-\x7f]+").findall
+_NO_CAPITALS, _NO_SMALL = (bytes(i for i in range(256) if not first <= i < first + 26) for first in b"Aa")
+
+
+def shouted(text: str) -> bool:
+    """Whether a whole text has more than 20 capitals, and more of them than small letters."""
+    data = text.encode("utf-8", "surrogatepass")
+    capitals, small = (len(data.translate(None, other)) for other in (_NO_CAPITALS, _NO_SMALL))
+    # each character beyond ASCII takes a byte more, at least
+    if capitals + len(data) - len(text) <= max(20, small):
+        return False
+    others = "".join(_BEYOND_ASCII(text)) if len(data) > len(text) else ""
+    capitals += sum(map(str.isupper, others))
+    return capitals > 20 and capitals > small + sum(map(str.islower, others))
 
 
 def skeleton(word: str) -> str:
@@ -223,8 +237,7 @@ class Voting(dict):
             for i in h[2]:
                 pattern[i] = 1
         pattern[1] = _LONE(text) is not None and _SPACED(text) is not None
-        letters = sum(map(str.isupper, text)) if text[:200].upper() == text[:200] else 0
-        pattern[2] = letters > 20 and letters > sum(map(str.islower, text))
+        pattern[2] = shouted(text)
         if hits:
             places = [i for i, _ in hits]
             pattern[5] = any(w.strip(".,;:!?") in SECOND_PERSON for i in places for w in words[max(0, i - 3) : i + 4])
