@@ -115,3 +115,30 @@ def test_nulls_long_texts_and_clashing_names(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in range(60) if i % 3} | {90}
     assert tx.score_documents(docs.limit(0), model).count() == 0
     assert {r.predicted for r in tx.score_documents(docs, tx.fit(docs.limit(0), labels)).collect()} == {0}
+
+
+def test_texts_are_looked_at_once(spark, monkeypatch):
+    rows = [(i, ("vilewort slow river " if i % 3 == 0 else "river stone walks ") * 4, 1) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *rows[:3], (None, "vilewort", 1), (90, None, 1)], "doc_id long, text string, label int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    key = lambda r: (r.doc_id is None, r.doc_id or 0)
+    want = sorted(tx.score_documents(docs, tx.fit(docs, labels)).collect(), key=key)
+    looks, real = [], tx.look_at
+    monkeypatch.setattr(tx, "look_at", lambda *a: looks.append(a) or real(*a))
+    monkeypatch.setattr(tx, "score_documents", None)
+    found = sorted(tx.fit_and_score(docs, labels).collect(), key=key)
+    assert len(looks) == 1 and len(found) == 65 and len({r.held_out for r in found}) == 2
+    assert [(r.doc_id, r.held_out, r.predicted) for r in found] == [(r.doc_id, r.held_out, r.predicted) for r in want]
+    assert np.allclose([r.score for r in found], [r.score for r in want], atol=1e-9)
+    monkeypatch.undo()
+    assert tx.fit_and_score(docs.limit(0), labels).count() == 0
+
+
+def test_common_words_outlast_the_memory(monkeypatch):
+    monkeypatch.setattr(tx, "CACHED_WORDS", 8)
+    voting, looked, real = tx.Voting({"0slug": 4.0}), [], tx.Voting._looked_up
+    monkeypatch.setattr(tx.Voting, "_looked_up", lambda self, word: looked.append(word) or real(self, word))
+    for i in range(100):
+        votes, _ = voting.seen(f"slug word{i} river")
+        assert votes[0] == tx.TOXIC
+    assert looked.count("slug") == looked.count("river") == 1 and len(voting) + len(voting.older) <= 16

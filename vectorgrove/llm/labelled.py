@@ -14,8 +14,8 @@ from vectorgrove.llm.common import byte_batches, fold
 MAX_LABELLED = 20_000
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
-    """doc_id, text and label of labelled documents outside the held-out fold, about ``most`` of them.
+def sampled_labels(labels: DataFrame, label: str, id_col: str = "doc_id", most: int = MAX_LABELLED) -> DataFrame:
+    """labelled_id and label of documents outside the held-out fold, about ``most`` of them.
 
     Labels other than 0 and 1 are left out; where an id has several labels
     the largest holds.  The sample depends on ids only.
@@ -24,7 +24,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str
     rows = known.count()
     share = min(1.0, most / rows) if rows else 1.0
     chance = F.shiftrightunsigned(F.xxhash64(F.col(id_col).cast("long"), F.lit(5)), 11) / F.lit(float(1 << 53))
-    known = known.where(chance < share).groupBy(F.col(id_col).cast("long").alias("labelled_id")).agg(F.max(label).cast("int").alias("label"))
+    return known.where(chance < share).groupBy(F.col(id_col).cast("long").alias("labelled_id")).agg(F.max(label).cast("int").alias("label"))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
+    """doc_id, text and label of the documents of ``sampled_labels``."""
+    known = sampled_labels(labels, label, id_col, most)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     # the sample's size is bounded, so it may be sent to every executor
     return docs.join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "text", "label")

@@ -64,8 +64,7 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return toxicity.score_documents(docs, toxicity.fit(docs, labels(spark, sf_dir)))
+    return toxicity.fit_and_score(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
 @query

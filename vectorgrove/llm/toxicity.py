@@ -30,14 +30,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from vectorgrove.llm.common import byte_batches, checkpoint, fold
-from vectorgrove.llm.labelled import MAX_LABELLED, features_of, filtered, labelled_sample, scored, sigmoid
+from vectorgrove.llm.labelled import MAX_LABELLED, filtered, labelled_sample, sampled_labels, scored, sigmoid
 
 BEGINNINGS, ENDINGS = (4, 5, 6, 7, 8), (5, 6)
 LEXICONS = ("word", *(f"begin-{n}" for n in BEGINNINGS), *(f"end-{n}" for n in ENDINGS), "skeleton", "squeezed", "unmasked")
 PATTERNS = ("masked", "spaced", "shouting", "marks", "stretched", "addressed", "close", "repeated", "opening", "closing", "strong")
 #: Lexicon voters, pattern voters, and one that says clean of texts without anything known.
 VOTERS = (*LEXICONS, *PATTERNS, "nothing-known")
-#: Words a worker remembers; more only cost time.
+#: Words a worker remembers, and as many from before; more only cost time.
 CACHED_WORDS = 300_000
 #: A lexicon says toxic from this share of known words on, nothing below it, and clean without any; documents of fewer words count as MIN_WORDS.
 SHARE, MIN_WORDS = 0.008, 25
@@ -163,6 +163,8 @@ class Voting(dict):
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
         self.lexicon = lexicon
+        #: Words remembered before the present ones.
+        self.older: dict[str, tuple | None] = {}
         #: What lexicons know of words of letters inside other words.
         self.parts: dict[str, list[tuple[int, float]]] = {}
         self.by = [{k[1:]: w for k, w in lexicon.items() if int(k[0]) == i} for i in range(10)]
@@ -190,6 +192,13 @@ class Voting(dict):
         return found
 
     def __missing__(self, word: str):
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        value = self[word] = self.older[word] if word in self.older else self._looked_up(word)
+        return value
+
+    def _looked_up(self, word: str):
         found, patterns, doubled = [], (), _DOUBLE(word) is not None
         if word.isalpha():
             found = self._known(word, doubled)
@@ -213,15 +222,11 @@ class Voting(dict):
                 patterns = tuple(i for i, of in ((0, _MASKED), (3, _MARKS)) if of(word))
         if doubled and _STRETCHED(word):
             patterns += (4,)
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = None
-        if found or patterns:
-            kinds = np.zeros(len(LEXICONS))
-            kinds[[kind for kind, _ in found]] = 1
-            value = kinds, max((w for _, w in found), default=0.0), patterns
-        self[word] = value
-        return value
+        if not found and not patterns:
+            return None
+        kinds = np.zeros(len(LEXICONS))
+        kinds[[kind for kind, _ in found]] = 1
+        return kinds, max((w for _, w in found), default=0.0), patterns
 
     def seen(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Each voter's vote, and features."""
@@ -251,7 +256,8 @@ class Voting(dict):
         votes[len(LEXICONS) : -1] = np.where(pattern > 0, TOXIC, ABSTAIN)
         votes[-1] = CLEAN if not hits and m >= MIN_WORDS else ABSTAIN
         total = weight / max(m, MIN_WORDS)
-        return votes, np.concatenate([np.log1p(1000 * share), pattern, [np.log1p(1000 * total), np.log1p(weight), np.log1p(m), float(weight > 0)]])
+        features = np.concatenate([np.log1p(1000 * share), pattern, [np.log1p(1000 * total), np.log1p(weight), np.log1p(m), float(weight > 0)]])
+        return votes, features.astype(np.float32)
 
 
 FEATURES = len(LEXICONS) + len(PATTERNS) + 4
@@ -383,10 +389,14 @@ def votes_of(pattern: np.ndarray) -> np.ndarray:
     return pattern[:, None] >> 2 * np.arange(len(VOTERS)) & 3
 
 
-def _looked_at(docs: DataFrame, lexicon: dict[str, float], id_col: str, text_col: str) -> DataFrame:
-    """patterns and features, as blocks of 64-bit integers and 32-bit floats, of all documents outside the held-out fold."""
+#: Documents looked at, all of them held out or none; ids are a list, patterns 64-bit integers and features 32-bit floats.
+BLOCKS = pa.schema([("held_out", pa.bool_()), ("ids", pa.list_(pa.int64())), ("patterns", pa.binary()), ("features", pa.binary())])
+
+
+def look_at(docs: DataFrame, lexicon: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Patterns and features of whole texts (null: empty), in blocks."""
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    rows = docs.where(fold(id_col, 5) != 0).select(F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (fold(id_col, 5) == 0).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voting = _voting_of(shared.value)
@@ -394,10 +404,19 @@ def _looked_at(docs: DataFrame, lexicon: dict[str, float], id_col: str, text_col
             for b in byte_batches(whole, "text"):
                 seen = [voting.seen(t or "") for t in b.column("text").to_pylist()]
                 patterns = pattern_number(np.array([v for v, _ in seen]))
-                features = np.array([x for _, x in seen], np.float32)
-                yield pa.RecordBatch.from_arrays([pa.array([patterns.tobytes()]), pa.array([features.tobytes()])], ["patterns", "features"])
+                features = np.array([x for _, x in seen])
+                held = b.column("held_out").to_numpy(zero_copy_only=False)
+                for part in (False, True):
+                    at = np.flatnonzero(held == part)
+                    if len(at):
+                        row = part, b.column("doc_id").take(pa.array(at)).to_pylist(), patterns[at].tobytes(), features[at].tobytes()
+                        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, BLOCKS, strict=True)], schema=BLOCKS)
 
-    return rows.mapInArrow(run, "patterns binary, features binary")
+    return rows.mapInArrow(run, "held_out boolean, ids array<long>, patterns binary, features binary")
+
+
+def _features(block: bytes) -> np.ndarray:
+    return np.frombuffer(block, np.float32).reshape(-1, FEATURES)
 
 
 def _summed(blocks: DataFrame, of, shape: tuple[int, ...]) -> np.ndarray:
@@ -425,12 +444,20 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     outside the fold if that of an empty text is; repeated rows count each.
     Columns but those named are not read, whatever their names.
     """
-    m, d = len(VOTERS), FEATURES
     lexicon, prior = induce(docs, labels, label, most)
-    none = ToxicityModel(lexicon, None, np.zeros(d), np.ones(d), np.append(np.zeros(d), -3.0))
     if not lexicon:
-        return none
-    blocks = checkpoint(_looked_at(docs, lexicon, id_col, text_col))
+        return nothing_toxic(lexicon)
+    blocks = checkpoint(look_at(docs.where(fold(id_col, 5) != 0), lexicon, id_col, text_col))
+    return fit_blocks(blocks, lexicon, prior, sampled_labels(labels, label, id_col, most))
+
+
+def nothing_toxic(lexicon: dict[str, float]) -> ToxicityModel:
+    return ToxicityModel(lexicon, None, np.zeros(FEATURES), np.ones(FEATURES), np.append(np.zeros(FEATURES), -3.0))
+
+
+def fit_blocks(blocks: DataFrame, lexicon: dict[str, float], prior: float, known: DataFrame) -> ToxicityModel:
+    """The same from what was looked at in documents outside the held-out fold; ``known`` are a bounded number of labels."""
+    m, d = len(VOTERS), FEATURES
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -444,14 +471,14 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
         now = model
         joint = _summed(patterns, lambda b: now.expected(votes_of(b.column("pattern").to_numpy()), b.column("n").to_numpy().astype(float)), (2, 3 * m, 3 * m))  # noqa: B023
         if not joint.any():
-            return none
+            return nothing_toxic(lexicon)
         model = improved(model, joint, step >= EM_ROUNDS // 3)
         # the share of toxic documents is known from labels, and would otherwise drift to whatever else voters agree on
         model.prior = float(np.clip(prior, 1e-3, 0.5))
 
     def features(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for p, x in zip(b.column("patterns").to_pylist(), b.column("features").to_pylist(), strict=True):
-            yield np.frombuffer(p, np.int64), np.frombuffer(x, np.float32).reshape(-1, d).astype(float)
+            yield np.frombuffer(p, np.int64), _features(x).astype(float)
 
     moments = _summed(blocks, lambda b: sum(np.stack([np.full(d, len(x)), x.sum(0), (x * x).sum(0)]) for _, x in features(b)), (3, d))
     rows = moments[0, 0]
@@ -469,12 +496,43 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
         sums = _summed(blocks, part, (d + 1, d + 2))
         w = w - np.linalg.solve(sums[:, :-1] + np.diag(ridge + 1e-6), sums[:, -1] + ridge * w).clip(-2, 2)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
-    x, y = features_of(labelled_sample(docs, labels, label, id_col, text_col, most), lambda t: _voting_of(shared.value).seen(t)[1])
+    x, y = _labelled(blocks, known)
     slope, offset = calibration(np.column_stack([(x - mean) / scale, np.ones(len(x))]) @ w, y)
     return ToxicityModel(lexicon, model, mean, scale, np.append(w[:-1] * slope, w[-1] * slope + offset))
 
 
+def _labelled(blocks: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the documents with known labels, in the order of ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for ids, x in zip(b.column("ids").to_pylist(), b.column("features").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([row.tobytes() for row in _features(x)], pa.binary())], ["doc_id", "x"])
+
+    # known labels are bounded in number, so they may be sent to every executor
+    rows = blocks.mapInArrow(run, "doc_id long, x binary").join(F.broadcast(known), F.col("doc_id") == F.col("labelled_id")).select("doc_id", "label", "x")
+    rows = rows.toArrow().sort_by([("doc_id", "ascending")])
+    return _features(b"".join(rows["x"].to_pylist())).astype(float), np.array(rows["label"].to_pylist(), np.int64)
+
+
+def fit_and_score(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_LABELLED) -> DataFrame:
+    """What ``score_documents`` gives with the model of ``fit``, but each text is looked at once."""
+    lexicon, prior = induce(docs, labels, label, most)
+    if not lexicon:
+        return score_documents(docs, nothing_toxic(lexicon), id_col, text_col)
+    blocks = checkpoint(look_at(docs, lexicon, id_col, text_col))
+    model = fit_blocks(blocks.where(~F.col("held_out")), lexicon, prior, sampled_labels(labels, label, id_col, most))
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for held, ids, x in zip(*(b.column(c).to_pylist() for c in ("held_out", "ids", "features")), strict=True):
+                s = shared.value.score(_features(x))
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.full(len(ids), held)), pa.array(s, pa.float64()), pa.array((s >= BAR).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    return blocks.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Scores of whole texts; a null text counts as empty, repeated rows are scored each, an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
