@@ -86,6 +86,18 @@ def test_sentencepiece_equals_library(spark, docs):
         assert codec.decode(ids) == library.decode(ids)
 
 
+def test_common_pieces_outlast_the_memory(monkeypatch):
+    with open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as f:
+        codec = sentencepiece_bpe.Codec(f.read())
+    monkeypatch.setattr(sentencepiece_bpe, "CACHED_WORDS", 8)
+    looked, real = [], codec._tokens_of
+    monkeypatch.setattr(codec, "_tokens_of", lambda word: looked.append(word) or real(word))
+    texts = [f"river stone word{i} river" for i in range(60)]
+    want = [real(("▁" + t).replace(" ", "▁")) for t in (*texts, " ".join(texts))]
+    assert [codec.encode(t, end=False) for t in (*texts, " ".join(texts))] == want
+    assert looked.count("▁river") == looked.count("▁stone") == 1 and len(codec._words) + len(codec._older) <= 16
+
+
 def test_packing(spark, docs):
     from tokenizers import Tokenizer
 

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 from vectorgrove.llm.common import byte_batches
 
 SPACE = "▁"
-#: Words of at most so many characters of which a worker keeps the ids, and pairs of tokens of which it keeps whether they fit; more only cost time.
-CACHED_WORDS, LONG_WORD, CACHED_PAIRS = 200_000, 64, 200_000
+#: Words of at most so many characters of which a worker keeps the ids, and as many from before, and pairs of tokens of which it keeps whether they fit; more only cost time.
+CACHED_WORDS, LONG_WORD, CACHED_PAIRS = 300_000, 64, 400_000
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 #: In place of ids: a character outside the vocabulary, and no token.
 _OTHER, _NONE = -1, -2
@@ -121,6 +121,8 @@ class Codec:
         self._chunks = self._chunk_pattern(tokens)
         #: Ids by chunk, for chunks of at most LONG_WORD characters.
         self._words: dict[str, list[int]] = {}
+        #: The same, remembered before.
+        self._older: dict[str, list[int]] = {}
 
     @staticmethod
     def _chunk_pattern(tokens: list[str]):
@@ -227,6 +229,16 @@ class Codec:
         return out
 
     def _word(self, word: str) -> list[int]:
+        if len(word) > LONG_WORD:
+            return self._ids_of(word)
+        if len(self._words) >= CACHED_WORDS:
+            # the same dictionary goes on, as a text at hand looks into it
+            self._older = dict(self._words)
+            self._words.clear()
+        ids = self._words[word] = self._older.get(word) or self._ids_of(word)
+        return ids
+
+    def _ids_of(self, word: str) -> list[int]:
         ids = self._tokens_of(word)
         if _OTHER in ids:
             tokens, ids, at = ids, [], 0
@@ -236,10 +248,6 @@ class Codec:
                 else:
                     ids.append(i)
                 at += self._length[i]
-        if len(word) <= LONG_WORD:
-            if len(self._words) >= CACHED_WORDS:
-                self._words.clear()
-            self._words[word] = ids
         return ids
 
     def encode(self, text: str, end: bool = True) -> list[int]:
