@@ -159,3 +159,33 @@ def test_pair_totals_over_chunks(monkeypatch, sub_count):
             assert n == counts[pair]
             if r["chunk"] & 1:
                 assert k == learning[pair]
+
+
+def test_joined_totals():
+    """Totals for the same chunk share a row, in and out of which they come whole."""
+    r = random.Random(5)
+    keys = sorted(r.sample(range(2**62), 700) + [0, 2**63 - 1])
+    rows = [{"chunk": c, "key": k, "data": bytes(r.choices(range(256), k=r.choice([1, 5, 300])))} for k in keys for c in r.sample(range(2, 9), 3)]
+    batches = pa.Table.from_pylist(rows, schema=lm.ANSWERS).to_batches(max_chunksize=90)
+    found = pa.Table.from_batches(list(lm.joined(iter(batches), 1000)))
+    # 2106 totals, looked through 1080 and 1026 at a time
+    assert found.num_rows == 14
+    for c in range(2, 9):
+        mine = found.filter(np.array(found.column("chunk")) == c)
+        assert lm.apart(mine).to_pylist() == [{"key": x["key"], "data": x["data"]} for x in rows if x["chunk"] == c]
+    assert not list(lm.joined(iter([]), 1000))
+
+
+@pytest.mark.parametrize("joined_rows", [1, 50, 200_000])
+def test_scores_from_joined_totals(spark, monkeypatch, joined_rows):
+    """However many totals share a row, the scores are those of brute force; the stored totals are fewer than the chunks' keys."""
+    stored = []
+    real = lm.checkpoint
+    monkeypatch.setattr(lm, "checkpoint", lambda df: stored.append(real(df)) or stored[-1])
+    monkeypatch.setattr(lm, "JOINED_ROWS", joined_rows)
+    rows = list(enumerate(texts(150)))
+    found = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), chunk_bytes=3_000).collect()
+    assert np.allclose([r.score for r in sorted(found, key=lambda r: r.doc_id)], brute_scores(rows), rtol=1e-9)
+    totals = stored[-1].count()
+    chunks = stored[0].where("chunk IS NOT NULL").select("chunk").distinct().count()
+    assert chunks > 5 and (joined_rows < 200_000 or totals <= 4 * chunks)

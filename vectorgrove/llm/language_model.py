@@ -16,8 +16,9 @@ a row for each chunk and word before; a very common word before has a row for
 each residue of the ids behind it, so that no owner adds up more than about
 SUB_COUNT occurrences at a time.  Pairs with a word that only one chunk has
 are counted there.  Owners answer with totals, in 64 bits, where these differ
-from the chunk's own.  Rows are at most as many as words and pairs, however
-many chunks and owners there are, and no table of the corpus's n-grams is sent
+from the chunk's own, many words before in a row where they go to the same
+chunk.  Rows are at most as many as words and pairs, however many chunks and
+owners there are, and no table of the corpus's n-grams is sent
 to the driver or to every executor.
 """
 
@@ -35,11 +36,14 @@ from pyspark.sql import DataFrame, functions as F
 from vectorgrove.llm.common import byte_batches, checkpoint, checkpoint_dealt, fold
 
 #: Text that a chunk holds, at most, but for a longer document.
-CHUNK_BYTES = 12_000_000
+CHUNK_BYTES = 8_000_000
 #: Words that an owner adds up at a time, about.
 PART_ROWS = 500_000
 #: Occurrences of a word before that its owner adds up at a time, about.
 SUB_COUNT = 200_000
+#: Totals, and their bytes, that are looked through at a time for those that go to the same chunk.
+JOINED_ROWS = 200_000
+JOINED_BYTES = 8_000_000
 _SUB_BITS = 24
 BUCKETS = 16
 #: For learning the mixture weights, ratios of the two shares are counted in bins of this many to a factor of e.
@@ -314,6 +318,51 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from pair_totals(pa.Table.from_batches(held)).to_batches()
 
 
+JOINED = pa.schema([("chunk", pa.int64()), ("keys", pa.binary()), ("lengths", pa.binary()), ("data", pa.binary())])
+
+
+def joined(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Totals in order of their keys, a row for each chunk of some of them: gaps between keys, bytes that each has, and these bytes."""
+    held: list[pa.RecordBatch] = []
+    rows = size = 0
+    for b in batches:
+        held.append(b)
+        rows += b.num_rows
+        size += b.nbytes
+        if rows >= most or size >= JOINED_BYTES:
+            yield _joined(held)
+            held, rows, size = [], 0, 0
+    if rows:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    t = pa.Table.from_batches(held).combine_chunks()
+    t = t.take(np.argsort(t.column("chunk").to_numpy(), kind="stable"))
+    chunk, key = t.column("chunk").to_numpy(), t.column("key").to_numpy()
+    raw, at = _bytes_of(t.column("data").combine_chunks())
+    starts = np.concatenate([[0], np.flatnonzero(np.diff(chunk)) + 1])
+    ends = np.concatenate([starts[1:], [len(key)]])
+    gaps = np.diff(key, prepend=0)
+    gaps[starts] = key[starts]
+    keys, key_ends = varints(gaps)
+    lengths, length_ends = varints(np.diff(at))
+    return pa.RecordBatch.from_arrays([pa.array(chunk[starts]), _binary(keys, key_ends[ends - 1]), _binary(lengths, length_ends[ends - 1]), _binary(raw, at[ends])], schema=JOINED)
+
+
+def apart(rows: pa.Table) -> pa.Table:
+    """The keys and data of joined rows, a row for each key."""
+    raw, at = _bytes_of(rows.column("keys").combine_chunks())
+    gaps, last = unvarint(raw)
+    starts = np.searchsorted(last, at[:-1])
+    row = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(gaps))))
+    key = np.cumsum(gaps)
+    key -= (key[starts] - gaps[starts])[row]
+    lengths, _ = unvarint(_bytes_of(rows.column("lengths").combine_chunks())[0])
+    raw, _ = _bytes_of(rows.column("data").combine_chunks())
+    return pa.table({"key": key, "data": _binary(raw, np.cumsum(lengths))})
+
+
 WORD_ANSWERS = "chunk long, part int, data binary, n long, v long, n_learning long, v_learning long"
 
 
@@ -359,6 +408,7 @@ def _met(left: pa.Table, right: pa.Table, held_out: int) -> Chunk | None:
     c.pair_total, c.pair_learning = own.copy(), own if c.chunk & 1 else np.zeros_like(own)
     pairs = right.filter(part.is_null())
     if pairs.num_rows:
+        pairs = apart(pairs) if "keys" in pairs.column_names else pairs
         c.pair_learning = c.pair_learning.copy()
         at, key, _ = c.sent()
         starts = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
@@ -448,7 +498,7 @@ def score_documents(
     answers = checkpoint(sent.groupBy("part").applyInPandas(lambda rows: word_totals(rows, parts), WORD_ANSWERS))
     sums = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n_learning", "v_learning"))).first()
     n, v, n_learn, v_learn = (int(x) for x in sums)
-    answers = answers.where("chunk IS NOT NULL").select("chunk", "part", F.lit(None).cast("long").alias("key"), "data")
+    answers = answers.where("chunk IS NOT NULL").select("chunk", "part", F.lit(None).cast("binary").alias("keys"), F.lit(None).cast("binary").alias("lengths"), "data")
 
     def send_pairs(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -458,8 +508,9 @@ def score_documents(
         return pair_rows(c)
 
     pairs = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(send_pairs, "key long, chunk long, data binary")
-    totals = checkpoint(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(_summed, "chunk long, key long, data binary"))
-    answers = answers.unionByName(totals.select("chunk", F.lit(None).cast("int").alias("part"), "key", "data"))
+    most = JOINED_ROWS
+    totals = checkpoint(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(lambda batches: joined(_summed(batches), most), "chunk long, keys binary, lengths binary, data binary"))
+    answers = answers.unionByName(totals.withColumn("part", F.lit(None).cast("int")))
 
     def learn(left: pa.Table, right: pa.Table) -> pa.Table:
         c = _met(left, right, held_out)
