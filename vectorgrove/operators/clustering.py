@@ -264,18 +264,29 @@ def directional_pca(
     return Centroids(centers, "squared", 1 - model.cumulative_variance())
 
 
-def hybrid_coarse(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, cluster_id: about sqrt(k) groups along the first component, each cut along the second, into k chunks of one size."""
+def _chunk_size(df: DataFrame, k: int) -> int:
+    """Vectors in each of k chunks; 1 where there are none at all."""
     n = df.count()
-    if n % k:
-        raise ValueError("k must divide the number of vectors")
+    if 0 < n < k:
+        raise ValueError(f"{n} vectors for {k} chunks")
+    return max(1, n // k)
+
+
+def hybrid_coarse(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """id, cluster_id: about sqrt(k) groups along the first component, each cut along the second, into chunks of n // k.
+
+    Vectors beyond k chunks, fewer than k, belong to the last group and make
+    further chunks, from k on.  Too few vectors for k chunks are an error.
+    """
+    size = _chunk_size(df, k)
     coarse = max(1, math.isqrt(k))
-    size = n // k
     x, y = F.get(vector_col, F.lit(0)), F.get(vector_col, F.lit(1))
-    placed = rank_in_order(df.select(id_col, x.alias("x"), y.alias("y")), ["x", "y", id_col])
-    of_chunk = balanced_group(F.floor(F.col("place") / size), k, coarse)
+    rows = df.select(id_col, x.alias("x"), y.alias("y"))
+    x, y = (F.col(c).asc_nulls_last() for c in "xy")
+    placed = rank_in_order(rows, [x, y, id_col])
+    of_chunk = balanced_group(F.least(F.floor(F.col("place") / size), F.lit(k - 1)), k, coarse)
     placed = placed.withColumn("grp", of_chunk).drop("place")
-    return rank_in_order(placed, ["grp", "y", "x", id_col]).select(id_col, F.floor(F.col("place") / size).cast("long").alias("cluster_id"))
+    return rank_in_order(placed, ["grp", y, x, id_col]).select(id_col, F.floor(F.col("place") / size).cast("long").alias("cluster_id"))
 
 
 def recursive_balanced(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
