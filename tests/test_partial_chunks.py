@@ -29,3 +29,16 @@ def test_hybrid_coarse_refuses_fewer_vectors_than_chunks(spark, tmp_path):
     _written(tmp_path, 7)
     with pytest.raises(ValueError, match="7 vectors for 10"):
         queries.QUERIES["hybrid_coarse"](spark, str(tmp_path))
+
+
+@pytest.mark.parametrize("n", [0, 5, 7, 54])
+def test_recursive_balanced(spark, tmp_path, n):
+    con = _written(tmp_path, n)
+    want = con.execute(queries.ORACLES["recursive_balanced"]).fetchall()
+    assert sorted(queries.QUERIES["recursive_balanced"](spark, str(tmp_path)).collect(), key=lambda r: r[0]) == sorted(want)
+
+
+def test_recursive_balanced_refuses_fewer_vectors_than_parts(spark, tmp_path):
+    _written(tmp_path, 3)
+    with pytest.raises(ValueError, match="3 vectors for 4"):
+        queries.QUERIES["recursive_balanced"](spark, str(tmp_path))

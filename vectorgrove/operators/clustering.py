@@ -290,17 +290,21 @@ def hybrid_coarse(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str
 
 
 def recursive_balanced(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """id, cluster_id: k (a power of two) equal parts by halving along the component of largest variance of each part."""
-    n = df.count()
-    if k & (k - 1) or n % k:
-        raise ValueError("k must be a power of two that divides the number of vectors")
-    dims = len(df.select(vector_col).first()[0])
+    """id, cluster_id: k (a power of two) equal parts by halving along the component of largest variance of each part.
+
+    A halving makes parts of n // parts; vectors beyond these, fewer than
+    parts, make further ones.  Too few vectors for k parts are an error.
+    """
+    if k & (k - 1):
+        raise ValueError("k must be a power of two")
+    _chunk_size(df, k)
     rows = checkpoint(df.select(id_col, F.col(vector_col).alias("v"), F.lit(0).cast("long").alias("part")))
-    parts = 1
-    while parts < k:
-        # a row for each part, k at most, comes to the driver
+    n, first = rows.count(), rows.select("v").first()
+    dims, parts = len(first[0]) if first else 0, 1
+    while parts < k and n:
+        # a row for each part, fewer than 2 * k, comes to the driver
         spread = {r.part: int(np.argmax([r[f"s{i}"] for i in range(dims)])) for r in rows.groupBy("part").agg(*(F.var_pop(F.get("v", F.lit(i)).cast("double")).alias(f"s{i}") for i in range(dims))).collect()}
-        axis = F.element_at(F.lit([spread.get(p, 0) for p in range(parts)]), (F.col("part") + 1).cast("int"))
+        axis = F.element_at(F.lit([spread.get(p, 0) for p in range(max(spread) + 1)]), (F.col("part") + 1).cast("int"))
         placed = rank_in_order(rows.withColumn("x", F.get("v", axis)), ["part", "x", id_col])
         parts *= 2
         rows = checkpoint(placed.select(id_col, "v", F.floor(F.col("place") / (n // parts)).cast("long").alias("part")))
