@@ -13,9 +13,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from vectorgrove.operators import pca
+from vectorgrove.operators import pca, transport
 from vectorgrove.operators.aggregates import balanced_group, bin_of, histogram, quantile_cuts, rank_in_order
-from vectorgrove.operators.neighbors import assign_nearest, collected, distances, matrix
+from vectorgrove.operators.neighbors import assign_nearest, distances, matrix
 from vectorgrove.session import checkpoint
 
 EPSILON = 1e-12
@@ -114,73 +114,71 @@ def spherical_kmeans(df: DataFrame, k: int, max_iter: int = 32, tolerance: float
 
 
 def balanced_assignment(cost: np.ndarray, low: int, high: int) -> np.ndarray:
-    """Clusters of least total cost with ``low`` to ``high`` members each.
-
-    Successive shortest paths over clusters: points come in order, and each
-    augments along the cheapest chain of moves to a cluster with room; members
-    below the lower bound are worth more than any difference of costs.
-    """
+    """Clusters of least total cost with ``low`` to ``high`` members each, for a table in memory; costs are rounded to 2 ** -44 of their range."""
     n, k = cost.shape
     if k * low > n or k * high < n:
         raise ValueError("bounds can't be met")
-    bonus = 2 * (cost.max() - cost.min()) + 8.0 if n else 0.0
-    owner = np.full(n, -1)
-    count = np.zeros(k, np.int64)
-    for p in range(n):
-        # move[a, b]: cheapest way to hand a member of a over to b
-        move = np.full((k, k), np.inf)
-        who = np.full((k, k), -1)
-        for a in range(k):
-            members = np.flatnonzero(owner == a)
-            if len(members):
-                gain = cost[members] - cost[members, a][:, None]
-                at = gain.argmin(0)
-                move[a], who[a] = gain[at, np.arange(k)], members[at]
-            move[a, a] = np.inf
-        reach, back = cost[p].copy(), np.full(k, -1)
-        for _ in range(k):
-            through = reach[:, None] + move
-            best = through.argmin(0)
-            better = through[best, np.arange(k)] < reach - EPSILON
-            if not better.any():
-                break
-            reach = np.where(better, through[best, np.arange(k)], reach)
-            back = np.where(better, best, back)
-        end = np.where(count < low, reach - bonus, np.where(count < high, reach, np.inf))
-        at = int(np.flatnonzero(end <= end.min() + EPSILON)[0])
-        count[at] += 1
-        while back[at] >= 0:
-            owner[who[back[at], at]] = at
-            at = int(back[at])
-        owner[p] = at
-    return owner
+    span = float(np.ptp(cost)) if n else 0.0
+    units = np.rint((cost - cost.min()) / span * transport.SCALE).astype(np.int64) if span else np.zeros(cost.shape, np.int64)
+    return np.array(transport.solved(units, low, high).held).reshape(n, k).argmax(1)
 
 
-def balanced_clustering(df: DataFrame, k: int, low: int = 1, high: int | None = None, passes: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[Centroids, pd.DataFrame]:
+def balanced(df: DataFrame, k: int, low: int = 1, high: int | None = None, passes: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[Centroids, DataFrame]:
     """Capacity-constrained clustering by cosine distance: least-cost assignment within bounds, then means, ``passes`` times.
 
-    The problem is solved as a whole for a table of checked size (the
-    assignment has no distributed form); assigning other rows is by nearest
-    centroid and has no bound.
+    Members are a table (id, cluster_id), not held by the driver; for what is,
+    see ``transport``.  Assigning other rows is by nearest centroid.
     """
-    ids, x = collected(df, id_col, vector_col, 4096)
-    n = len(ids)
+    rows = checkpoint(df.select(id_col, vector_col))
+    n = rows.count()
     high = n - (k - 1) * low if high is None else high
-    if not k or k * low > n or k * high < n:
+    if not n or not k or k * low > n or k * high < n:
         raise ValueError("bounds can't be met")
-    chosen = [0]
-    while len(chosen) < k:
-        d = distances(x, x[chosen], "cosine").min(1)
-        chosen.append(int(np.flatnonzero(d >= d.max() - EPSILON)[0]))
-    centers = x[chosen].copy()
-    owner = np.zeros(n, np.int64)
+    _, centers = farthest_points(rows, k, "cosine", id_col, vector_col)
     for _ in range(passes):
-        owner = balanced_assignment(distances(x, centers, "cosine"), low, high)
-        for c in range(k):
-            mean = x[owner == c].mean(0)
-            centers[c] = mean if np.linalg.norm(mean) > EPSILON else x[np.flatnonzero(owner == c)[0]]
-    objective = float(distances(x, centers, "cosine")[np.arange(n), owner].sum())
-    return Centroids(centers, "cosine", objective, EPSILON), pd.DataFrame({id_col: ids, "cluster_id": owner})
+        found = transport.least_cost(rows, centers, low, high, id_col, vector_col)
+        placed = checkpoint(found.assign(rows, centers, id_col, vector_col))
+        centers = _means(placed, centers, id_col, vector_col)
+    shared = df.sparkSession.sparkContext.broadcast(centers)
+
+    def cost(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            if len(x):
+                d = distances(matrix(x[vector_col]), shared.value, "cosine")
+                yield pd.DataFrame({"d": [d[np.arange(len(x)), x["cluster_id"]].sum()]})
+
+    objective = placed.mapInPandas(cost, "d double").agg(F.sum("d")).first()[0]
+    return Centroids(centers, "cosine", objective, EPSILON), placed.select(id_col, "cluster_id")
+
+
+def _means(placed: DataFrame, centers: np.ndarray, id_col: str, vector_col: str) -> np.ndarray:
+    """Means of clusters; the member of least id where a mean is zero, the center before where there is none."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, list] = {}
+        for f in frames:
+            x = matrix(f[vector_col]) if len(f) else np.zeros((0, 0))
+            for c in f["cluster_id"].unique():
+                here = np.flatnonzero(f["cluster_id"] == c)
+                least = here[f[id_col].to_numpy()[here].argmin()]
+                n, total, first, v = held.get(c, (0, 0.0, np.inf, None))
+                i = f[id_col].iloc[least]
+                held[c] = [n + len(here), total + x[here].sum(0), *((i, x[least]) if i < first else (first, v))]
+        yield pd.DataFrame([(int(c), n, s.tolist(), int(i), v.tolist()) for c, (n, s, i, v) in sorted(held.items())], columns=["c", "n", "s", "i", "v"])
+
+    # a row for each cluster and task
+    parts = placed.mapInPandas(run, "c long, n long, s array<double>, i long, v array<double>").toPandas().sort_values(["c", "i"])
+    out = centers.copy()
+    for c, g in parts.groupby("c"):
+        mean = matrix(g["s"]).sum(0) / g["n"].sum()
+        out[c] = mean if np.linalg.norm(mean) > EPSILON else g["v"].iloc[0]
+    return out
+
+
+def balanced_clustering(df: DataFrame, k: int, low: int = 1, high: int | None = None, passes: int = 3, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[Centroids, pd.DataFrame]:
+    """As ``balanced``, with all members brought to the driver, in the order of ids."""
+    model, members = balanced(df, k, low, high, passes, id_col, vector_col)
+    return model, members.toPandas().sort_values(id_col, ignore_index=True)
 
 
 def log_bits(variance: np.ndarray, k: int, gamma: float = 1.0) -> list[int]:

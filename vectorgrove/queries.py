@@ -285,8 +285,7 @@ def balanced_clustering(spark, sf_dir):
     """Capacity-constrained clusters of the vectors of label 0."""
     e = embeddings(spark, sf_dir).where("label = 0")
     n = e.count()
-    _, members = clustering.balanced_clustering(e, 4, n // 8, -(-n // 3))
-    return spark.createDataFrame(members.astype("int64"))
+    return clustering.balanced(e, 4, n // 8, -(-n // 3))[1].select("vec_id", "cluster_id")
 
 
 @register("directional_pca")
