@@ -51,3 +51,13 @@ def test_balanced_clusters_of_more_vectors_than_one_solve_took(spark):
     _, members = clustering.balanced(df, 3, 1000, 1500)
     sizes = [c["count"] for c in members.groupBy("cluster_id").count().collect()]
     assert sum(sizes) == 4200 and all(1000 <= s <= 1500 for s in sizes)
+
+
+def test_query_places_all_vectors(spark, tmp_path):
+    from vectorgrove import queries
+
+    r = np.random.default_rng(1)
+    rows = [(i, v.tolist(), i % 3) for i, v in enumerate(r.normal(size=(48, 3)))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = queries.QUERIES["balanced_clustering"](spark, str(tmp_path)).toPandas()
+    assert sorted(got["vec_id"]) == list(range(48)) and got.groupby("cluster_id").size().between(6, 16).all()

@@ -282,8 +282,8 @@ def spherical_kmeans(spark, sf_dir):
 
 @register("balanced_clustering")
 def balanced_clustering(spark, sf_dir):
-    """Capacity-constrained clusters of the vectors of label 0."""
-    e = embeddings(spark, sf_dir).where("label = 0")
+    """Capacity-constrained clusters of all vectors."""
+    e = embeddings(spark, sf_dir)
     n = e.count()
     return clustering.balanced(e, 4, n // 8, -(-n // 3))[1].select("vec_id", "cluster_id")
 
