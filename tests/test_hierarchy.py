@@ -45,3 +45,38 @@ def test_packers(spark):
         H.segmented([0], 4)
     df = spark.createDataFrame([(i, [float(i // 3 * 10 + i % 3)]) for i in range(9)], "vec_id long, embedding array<double>")
     assert H.neighborhood_groups(df, 3)["cluster_id"].tolist() == [0, 0, 0, 1, 1, 1, 2, 2, 2]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "cosine"])
+def test_groups_grow_by_the_best_node_left(metric):
+    """As trying each node that is left would have it; some nodes are there twice."""
+    x = np.random.default_rng(6).normal(size=(40, 3))
+    x[20:25] = x[10:15]
+    cost = {
+        "greedy-pack": lambda g, i: H.distances(x[g[:1]], x[i : i + 1], metric)[0, 0],
+        "ward": lambda g, i: H.dispersion(x[[*g, i]], metric) * (len(g) + 1),
+        "beta-aware": lambda g, i: H.dispersion(x[[*g, i]], metric) / H.dispersion(x, metric),
+    }
+    for strategy, of in cost.items():
+        left, want = list(range(40)), []
+        for size in H.group_sizes(40, 2, 6):
+            g = [left.pop(0)]
+            while len(g) < size:
+                g.append(min(left, key=lambda i: (round(of(g, i), 9), i)))
+                left.remove(g[-1])
+            want.append(sorted(g))
+        assert H.group(x, np.ones(40), strategy, 2, 6, metric) == want
+    order, left = [0], list(range(1, 40))
+    while left:
+        order.append(min(left, key=lambda i: (round(H.distances(x[order[-1:]], x[i : i + 1], metric)[0, 0], 9), i)))
+        left.remove(order[-1])
+    assert H.metric_walk(x, metric) == order
+
+
+def test_hierarchies_over_many_leaves(spark):
+    """More leaves than may be sent as queries of neighbours."""
+    n = 20_000
+    x = np.random.default_rng(7).normal(size=(n, 2))
+    leaves = spark.createDataFrame([(i, v.tolist(), 1, 0.0) for i, v in enumerate(x)], "cluster_id long, centroid array<double>, members long, dispersion double")
+    nodes = H.build_each(leaves, ("recursive-top-down", "greedy-pack"), 2, 5).where("parent IS NULL").collect()
+    assert sorted((r.strategy, r.members) for r in nodes) == [("greedy-pack", n), ("recursive-top-down", n)]

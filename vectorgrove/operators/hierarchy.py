@@ -1,21 +1,26 @@
 """Grouping strategies over leaf nodes, refinement ratios, node summaries, and packers of bounded tables.
 
-Strategies work on a table of nodes (clusters, not rows) of checked size; what
-depends on rows is aggregated before.
+Strategies work on a table of nodes (clusters, not rows) of checked size, in
+memory that grows with it as they do; what depends on rows is aggregated before.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from vectorgrove.operators.neighbors import collected, distances, matrix
+from vectorgrove.session import checkpoint
 
 POWER_STEPS = 12
+#: Leaves that a hierarchy is built over at most; growing groups and walks look at all nodes left for each node.
+MAX_LEAVES = 131_072
+#: Bytes of rows and moments of clusters that a task sums up at a time.
+HELD_BYTES = 1 << 26
 
 
 def dispersion(x: np.ndarray, metric: str = "euclidean") -> float:
@@ -37,15 +42,57 @@ def _cut(order: list[int], sizes: list[int]) -> list[list[int]]:
     return [order[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
+class _Left:
+    """Nodes that aren't taken yet, in order; sums over components go row by row, so that equal nodes have equal costs."""
+
+    def __init__(self, x: np.ndarray, metric: str):
+        self.cosine = metric == "cosine"
+        self.at, self.x, self.norm = np.arange(len(x)), x, np.sqrt(np.einsum("ij,ij->i", x, x))
+        if self.cosine and not self.norm.all():
+            raise ValueError("zero norm")
+        self.open, self.count = np.ones(len(x), bool), len(x)
+
+    def take(self, spot: int) -> tuple[int, np.ndarray]:
+        """Place among all nodes, and vector, of the node at a spot among those still held."""
+        at, v = int(self.at[spot]), self.x[spot]
+        self.open[spot], self.count = False, self.count - 1
+        if self.count < len(self.at) // 2:
+            self.at, self.x, self.norm = self.at[self.open], self.x[self.open], self.norm[self.open]
+            self.open = np.ones(self.count, bool)
+        return at, v
+
+    def first(self) -> tuple[int, np.ndarray]:
+        return self.take(int(self.open.argmax()))
+
+    def nearest(self, v: np.ndarray) -> tuple[int, np.ndarray]:
+        dot = np.einsum("ij,j->i", self.x, v)
+        d = 1 - dot / self.norm / np.sqrt(v @ v) if self.cosine else np.maximum(self.norm**2 + v @ v - 2 * dot, 0)
+        return self.take(int(np.where(self.open, d, np.inf).argmin()))
+
+    def tightest(self, group: np.ndarray) -> tuple[int, np.ndarray]:
+        """The node with which the group's dispersion is least."""
+        total, n = group.sum(0), len(group) + 1
+        dot = np.einsum("ij,j->i", self.x, total)
+        length = total @ total + 2 * dot + self.norm**2
+        if self.cosine:
+            unit = (group / np.linalg.norm(group, axis=1, keepdims=True)).sum(0)
+            along = unit @ total + np.einsum("ij,j->i", self.x, unit) + dot / self.norm + self.norm
+            if not length.all():
+                raise ValueError("zero norm")
+            d = 1 - along / np.sqrt(np.maximum(length, np.finfo(float).tiny)) / n
+        else:
+            d = self.norm**2 - length / n
+        return self.take(int(np.where(self.open, d, np.inf).argmin()))
+
+
 def metric_walk(x: np.ndarray, metric: str) -> list[int]:
     """From the first node always on to the nearest one not visited."""
-    d, order = distances(x, x, metric), [0]
-    left = np.ones(len(x), bool)
-    left[0] = False
-    while left.any():
-        row = np.where(left, d[order[-1]], np.inf)
-        order.append(int(row.argmin()))
-        left[order[-1]] = False
+    left = _Left(x, metric)
+    at, v = left.first()
+    order = [at]
+    while left.count:
+        at, v = left.nearest(v)
+        order.append(at)
     return order
 
 
@@ -57,15 +104,14 @@ def two_anchors(x: np.ndarray, metric: str) -> list[int]:
     return np.lexsort((np.arange(len(x)), d[:, 0] - d[:, 1])).tolist()
 
 
-def _grown(x: np.ndarray, sizes: list[int], cost: Callable[[list[int], int], float]) -> list[list[int]]:
-    left, groups = list(range(len(x))), []
+def _grown(x: np.ndarray, sizes: list[int], metric: str, by_first: bool) -> list[list[int]]:
+    """Groups from the first node left on, that take in the one nearest to their first node, or the one that disperses them least."""
+    left, groups = _Left(x, metric), []
     for size in sizes:
-        group = [left.pop(0)]
-        while len(group) < size:
-            best = min(left, key=lambda i: (cost(group, i), i))
-            group.append(best)
-            left.remove(best)
-        groups.append(sorted(group))
+        found = [left.first()]
+        while len(found) < size:
+            found.append(left.nearest(found[0][1]) if by_first else left.tightest(np.array([v for _, v in found])))
+        groups.append(sorted(at for at, _ in found))
     return groups
 
 
@@ -95,12 +141,9 @@ def group(x: np.ndarray, weight: np.ndarray, strategy: str, low: int, high: int,
     if strategy == "pca-variance-top-down":
         return _cut(pca_order(x, weight), sizes)
     if strategy == "greedy-pack":
-        return _grown(x, sizes, lambda g, i: float(distances(x[g[:1]], x[i : i + 1], metric)[0, 0]))
-    if strategy == "ward":
-        return _grown(x, sizes, lambda g, i: dispersion(x[[*g, i]], metric) * (len(g) + 1))
-    if strategy == "beta-aware":
-        whole = dispersion(x, metric) or 1.0
-        return _grown(x, sizes, lambda g, i: dispersion(x[[*g, i]], metric) / whole)
+        return _grown(x, sizes, metric, True)
+    if strategy in ("ward", "beta-aware"):  # the group's spread, or its dispersion over that of all: for groups of one size the same node is best
+        return _grown(x, sizes, metric, False)
     raise ValueError(f"unknown strategy {strategy}")
 
 
@@ -110,10 +153,27 @@ NODES = "node string, parent string, level int, members long, dispersion double"
 
 def build(leaves: DataFrame, strategy: str, low: int, high: int, metric: str = "euclidean", id_col: str = "cluster_id", vector_col: str = "centroid", count_col: str = "members", dispersion_col: str = "dispersion") -> DataFrame:
     """Nodes of a hierarchy over leaf clusters: leaf-<id> and internal-<n> in the order they are made."""
-    _, x = collected(leaves, id_col, vector_col)
+    return build_each(leaves, (strategy,), low, high, metric, id_col, vector_col, count_col, dispersion_col).drop("strategy")
+
+
+def build_each(leaves: DataFrame, strategies: tuple[str, ...], low: int, high: int, metric: str = "euclidean", id_col: str = "cluster_id", vector_col: str = "centroid", count_col: str = "members", dispersion_col: str = "dispersion") -> DataFrame:
+    """strategy and nodes of hierarchies over the same leaves; each strategy is a task of its own."""
+    ids, x = collected(leaves, id_col, vector_col, MAX_LEAVES)
     facts = leaves.select(id_col, count_col, dispersion_col).toPandas().sort_values(id_col, ignore_index=True)
-    n, spread = facts[count_col].to_numpy(np.float64), facts[dispersion_col].to_numpy(np.float64)
-    names = [f"leaf-{i}" for i in facts[id_col]]
+    spark = leaves.sparkSession
+    shared = spark.sparkContext.broadcast((ids, x, facts[count_col].to_numpy(np.float64), facts[dispersion_col].to_numpy(np.float64)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for i in f["id"]:
+                rows = _tree(*shared.value, strategies[i], low, high, metric)
+                yield pd.DataFrame(rows, columns=["node", "parent", "level", "members", "dispersion"]).assign(strategy=strategies[i])
+
+    return checkpoint(spark.range(len(strategies), numPartitions=len(strategies)).mapInPandas(run, NODES + ", strategy string"))
+
+
+def _tree(ids: np.ndarray, x: np.ndarray, n: np.ndarray, spread: np.ndarray, strategy: str, low: int, high: int, metric: str) -> list[list]:
+    names = [f"leaf-{i}" for i in ids]
     rows = {k: [k, None, 0, int(c), float(s)] for k, c, s in zip(names, n, spread, strict=True)}
     level, made = 0, 0
     while len(names) > 1:
@@ -133,14 +193,17 @@ def build(leaves: DataFrame, strategy: str, low: int, high: int, metric: str = "
             new_s.append(rows[name][4])
             new_names.append(name)
         x, n, spread, names = np.array(new_x), np.array(new_n), np.array(new_s), new_names
-    return leaves.sparkSession.createDataFrame([tuple(r) for r in rows.values()], NODES)
+    return list(rows.values())
 
 
-def refinement(nodes: DataFrame) -> DataFrame:
-    """node, parent, beta: dispersion over the parent's; 0 over 0 is 0, anything else over 0 is infinite."""
-    p = nodes.select(F.col("node").alias("p"), F.col("dispersion").alias("above"))
+def refinement(nodes: DataFrame, *by: str) -> DataFrame:
+    """by..., node, parent, beta: dispersion over the parent's, within each ``by``; 0 over 0 is 0, anything else over 0 is infinite."""
+    p = nodes.select(F.col("node").alias("p"), F.col("dispersion").alias("above"), *(F.col(c).alias(f"p_{c}") for c in by))
     ratio = F.when(F.col("above") > 0, F.col("dispersion") / F.col("above")).when(F.col("dispersion") == 0, 0.0).otherwise(float("inf"))
-    return nodes.join(p, F.col("parent") == F.col("p")).select("node", "parent", "level", ratio.alias("beta"))
+    same = F.col("parent") == F.col("p")
+    for c in by:
+        same = same & (F.col(c) == F.col(f"p_{c}"))
+    return nodes.join(p, same).select(*by, "node", "parent", "level", ratio.alias("beta"))
 
 
 def depth_bound(leaves: int, fanout: int) -> int:
@@ -166,23 +229,43 @@ def exact_summaries(df: DataFrame, cluster_col: str, vector_col: str = "embeddin
 
     The first three are aggregates with partial sums; the direction comes from
     the cluster's second moments, which are summed up for each partition first.
+    Few rows of a cluster in a partition are smaller than these, and sent as they are.
     """
 
+    def packed(held: dict[int, list]) -> pd.DataFrame:
+        parts = {c: (n, np.concatenate(rows), s, m) for c, (n, rows, s, m) in held.items()}
+        return pd.DataFrame([(c, n, x.tobytes(), None if m is None else s.tobytes(), None if m is None else m.tobytes()) for c, (n, x, s, m) in parts.items()], columns=["c", "n", "x", "s", "m"])
+
     def partial(frames):
         held: dict[int, list] = {}
+        size = 0
         for f in frames:
             for c, g in f.groupby("c"):
                 x = matrix(g["v"])
-                row = held.setdefault(int(c), [0, 0.0, 0.0])
+                row = held.setdefault(int(c), [0, [], 0.0, None])
                 row[0] += len(x)
-                row[1] = row[1] + x.sum(0)
-                row[2] = row[2] + x.T @ x
-        yield pd.DataFrame({"c": list(held), "n": [r[0] for r in held.values()], "s": [r[1].tobytes() for r in held.values()], "m": [r[2].tobytes() for r in held.values()]})
+                row[1].append(x)
+                size += x.nbytes
+                if sum(map(len, row[1])) > x.shape[1]:
+                    x = np.concatenate(row[1])
+                    size += x.shape[1] ** 2 * 8 * (row[3] is None) - x.nbytes
+                    row[1:] = [[x[:0]], row[2] + x.sum(0), x.T @ x + (0.0 if row[3] is None else row[3])]
+                if size > HELD_BYTES:
+                    yield packed(held)
+                    held, size = {}, 0
+        if held:
+            yield packed(held)
 
     def final(g: pd.DataFrame) -> pd.DataFrame:
         n = int(g["n"].sum())
-        mean = sum(np.frombuffer(s) for s in g["s"]) / n
-        second = sum(np.frombuffer(m).reshape(len(mean), -1) for m in g["m"]) - n * np.outer(mean, mean)
+        sums = [np.frombuffer(s) for s in g["s"] if s is not None]
+        moments = [np.frombuffer(m).reshape(len(sums[0]), -1) for m in g["m"] if m is not None]
+        few = np.frombuffer(b"".join(g["x"]))
+        if len(few):
+            few = few.reshape(n if not sums else -1, len(sums[0]) if sums else -1)
+            sums, moments = [*sums, few.sum(0)], [*moments, few.T @ few]
+        mean = sum(sums) / n
+        second = sum(moments) - n * np.outer(mean, mean)
         axis = np.ones(len(mean)) / math.sqrt(len(mean))
         for _ in range(POWER_STEPS):
             axis = second @ axis
@@ -192,7 +275,7 @@ def exact_summaries(df: DataFrame, cluster_col: str, vector_col: str = "embeddin
             axis /= size
         return pd.DataFrame({"cluster_id": [int(g["c"].iloc[0])], "members": [n], "centroid": [mean.tolist()], "variance": [float(np.trace(second)) / n], "direction": [axis.tolist()]})
 
-    parts = df.select(F.col(cluster_col).cast("long").alias("c"), F.col(vector_col).alias("v")).mapInPandas(partial, "c long, n long, s binary, m binary")
+    parts = df.select(F.col(cluster_col).cast("long").alias("c"), F.col(vector_col).alias("v")).mapInPandas(partial, "c long, n long, x binary, s binary, m binary")
     return parts.groupBy("c").applyInPandas(final, SUMMARY)
 
 

@@ -420,11 +420,8 @@ def _label_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hierarchy_refinement(spark, sf_dir):
     """Refinement ratios of hierarchies by all strategies over the same leaves."""
     leaves = checkpoint(_label_leaves(spark, sf_dir))
-    out = None
-    for strategy in hierarchy.STRATEGIES:
-        beta = hierarchy.refinement(hierarchy.build(leaves, strategy, 2, 5)).select(F.lit(strategy).alias("strategy"), "node", "parent", F.round("beta", 6).alias("beta"))
-        out = beta if out is None else out.unionByName(beta)
-    return out
+    beta = hierarchy.refinement(hierarchy.build_each(leaves, hierarchy.STRATEGIES, 2, 5), "strategy")
+    return beta.select("strategy", "node", "parent", F.round("beta", 6).alias("beta"))
 
 
 @register(
