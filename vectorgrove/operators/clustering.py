@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from vectorgrove.operators import pca, transport
-from vectorgrove.operators.aggregates import balanced_group, bin_of, histogram, quantile_cuts, rank_in_order
+from vectorgrove.operators.aggregates import balanced_group, bin_of, histogram, rank_in_order
 from vectorgrove.operators.neighbors import assign_nearest, distances, matrix
 from vectorgrove.session import checkpoint
 
@@ -222,6 +222,78 @@ def valley_cuts(counts: np.ndarray, low: float, high: float, bins: int) -> list[
     return [low + (high - low) * i / len(smooth) for i in sorted(cuts)]
 
 
+def _with_coordinates(df: DataFrame, vector_col: str, model: pca.PcaModel, axes: list[int]) -> DataFrame:
+    """The rows with their coordinates y<axis>, of equal vectors equal ones."""
+    if not axes:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast((model.mean @ model.basis[:, axes], np.ascontiguousarray(model.basis[:, axes].T)))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in frames:
+            middle, basis = shared.value
+            y = np.einsum("ij,kj->ik", matrix(x[vector_col]), basis) - middle if len(x) else np.zeros((0, len(axes)))
+            yield x.assign(**{f"y{a}": y[:, i] for i, a in enumerate(axes)})
+
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in df.schema]
+    return df.mapInPandas(run, ", ".join([*kinds, *(f"y{a} double" for a in axes)]))
+
+
+DIGIT = 16
+
+
+def order_statistics(df: DataFrame, bins: dict[str, int]) -> dict[str, list[float]]:
+    """Cuts of several columns of doubles as ``quantile_cuts`` has them, digit by digit: four jobs for all columns.
+
+    A job counts the next 16 bits of the values that agree so far with one
+    sought; for each of these the driver gets 65 536 counts at most.
+    """
+    names = [c for c in bins if bins[c] > 1]
+    n = df.count()
+    if not n or not names:
+        return {c: [] for c in bins}
+    ranks = {c: [math.ceil(b * n / bins[c]) - 1 for b in range(1, bins[c])] for c in names}
+    prefix = {c: np.zeros(len(ranks[c]), np.uint64) for c in names}
+    for shift in (48, 32, 16, 0):
+        sought = {c: np.unique(prefix[c]) for c in names}
+
+        def run(frames: Iterator[pd.DataFrame], shift: int = shift, sought: dict = sought) -> Iterator[pd.DataFrame]:
+            held = None
+            for x in frames:
+                parts = []
+                for i, c in enumerate(names):
+                    key = _sortable(x[c].to_numpy(np.float64)) >> np.uint64(shift)
+                    high = key >> np.uint64(DIGIT) if shift < 48 else np.zeros(len(key), np.uint64)
+                    at = np.searchsorted(sought[c], high).clip(max=len(sought[c]) - 1)
+                    code, count = np.unique((at * (1 << DIGIT) + (key & np.uint64((1 << DIGIT) - 1)).astype(np.int64))[sought[c][at] == high], return_counts=True)
+                    parts.append(pd.DataFrame({"c": i, "code": code, "n": count}))
+                every = pd.concat(parts if held is None else [held, *parts])
+                held = every.groupby(["c", "code"], as_index=False)["n"].sum()
+            if held is not None:
+                yield held
+
+        counts = df.select(*names).mapInPandas(run, "c int, code long, n long").groupBy("c", "code").agg(F.sum("n").alias("n")).toPandas()
+        for i, c in enumerate(names):
+            mine = counts[counts["c"] == i].sort_values("code")
+            code, total = mine["code"].to_numpy(), np.cumsum(mine["n"].to_numpy())
+            of = np.searchsorted(sought[c], prefix[c])
+            # rows of the prefixes before, as the ranks left count from the start of their own
+            before = np.append(0, total)[np.searchsorted(code, of << DIGIT)]
+            at = np.searchsorted(total, before + ranks[c], side="right")
+            ranks[c] = (before + ranks[c] - np.append(0, total)[at]).tolist()
+            prefix[c] = (prefix[c] << np.uint64(DIGIT)) | (code[at] & ((1 << DIGIT) - 1)).astype(np.uint64)
+    return {c: _unsortable(prefix[c]).tolist() if c in prefix else [] for c in bins}
+
+
+def _sortable(x: np.ndarray) -> np.ndarray:
+    """Whole numbers in the order of doubles; both zeros are one."""
+    u = (x + 0.0).view(np.uint64)
+    return np.where(u >> np.uint64(63), ~u, u | np.uint64(1 << 63))
+
+
+def _unsortable(u: np.ndarray) -> np.ndarray:
+    return np.where(u >> np.uint64(63), u & np.uint64((1 << 63) - 1), ~u).view(np.float64)
+
+
 def directional_pca(
     df: DataFrame, k: int, axes: int | None = None, allocation: str = "log-bits", binning: str = "quantile", exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", gamma: float = 1.0, min_rank: int = 1, min_cumulative: float = 0.0
 ) -> Centroids:
@@ -238,12 +310,13 @@ def directional_pca(
     model = model.truncate(retained)
     bins = log_bits(model.variance, k, gamma) if allocation == "log-bits" else centroid_weighted_bins(model, k, gamma)
     used = [a for a in range(retained) if bins[a] > 1]
-    rows = checkpoint(df.select(id_col, vector_col, *(model.coordinate(F.col(vector_col), a).alias(f"y{a}") for a in used)))
+    rows = checkpoint(_with_coordinates(df.select(id_col, vector_col), vector_col, model, used))
+    quantiles = order_statistics(rows, {f"y{a}": bins[a] for a in used}) if binning == "quantile" else {}
     keys = []
     for a in used:
         y = F.col(f"y{a}")
         if binning == "quantile":
-            cuts = quantile_cuts(rows, y, bins[a])
+            cuts = quantiles[f"y{a}"]
         else:
             width = min(max(bins[a], 2), 256)
             lo, hi = rows.agg(F.min(y), F.max(y)).first()

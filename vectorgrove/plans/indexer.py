@@ -8,6 +8,7 @@ layer's items, until one is left: the root.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -134,23 +135,42 @@ def _split_large(rows: DataFrame, part: str, n: int, bound: int, p: Profile) ->
 def _assemble(items: DataFrame, encoding: str, is_root: bool) -> DataFrame:
     """A branch for each partition of items (part, child, level, n, embedding); a single item passes through, without bytes."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.assign(raw=[codecs.encode(np.array(e), "f32le") for e in g["embedding"]]).sort_values(["child", "raw"]).drop_duplicates("child").sort_values(["raw", "child"])
-        first = int(g["idx"].min())
+    def branch(rows: list[tuple]) -> tuple:
+        first = min(r[0] for r in rows)
+        distinct: dict[bytes, tuple] = {}
+        for r in sorted(((bytes(c), codecs.encode(e, "f32le"), lv, n, e) for _, c, lv, n, e in rows), key=lambda r: r[:2]):
+            distinct.setdefault(r[0], r)
+        g = sorted(distinct.values(), key=lambda r: (r[1], r[0]))
         if len(g) == 1:
-            r = g.iloc[0]
-            return pd.DataFrame({"idx": [first], "child": [r["child"]], "level": [r["level"]], "n": [r["n"]], "embedding": [r["embedding"]], "bytes": [None], "members": [None]})
-        x, n = np.array(g["embedding"].tolist(), np.float32), g["n"].to_numpy(np.float64)
-        level = int(g["level"].max()) + 1
+            child, _, level, n, e = g[0]
+            return first, child, level, n, e, None, None
+        x, n = np.array([r[4] for r in g], np.float32), np.array([r[3] for r in g], np.float64)
+        level = max(r[2] for r in g) + 1
         payloads, descriptor = codecs.encode_block(x, encoding, codecs.bits_for(level, is_root))
-        data = blocks.branch_bytes(level, x.shape[1], "f32le" if encoding == "ordinary" else encoding, list(zip(payloads, map(bytes, g["child"]), strict=True)), descriptor)
+        data = blocks.branch_bytes(level, x.shape[1], "f32le" if encoding == "ordinary" else encoding, [(p, r[0]) for p, r in zip(payloads, g, strict=True)], descriptor)
         center = ((x.astype(np.float64) * n[:, None]).sum(0) / n.sum()).astype(np.float32)
         stored = codecs.decode_block(payloads, x.shape[1], descriptor)
-        members = [{"child": bytes(c), "child_level": int(lv), "embedding": v.tolist()} for c, lv, v in zip(g["child"], g["level"], stored, strict=True)]
-        return pd.DataFrame({"idx": [first], "child": [blocks.block_id(data)], "level": [level], "n": [int(n.sum())], "embedding": [center.tolist()], "bytes": [data], "members": [members]})
+        members = [{"child": r[0], "child_level": int(r[2]), "embedding": v} for r, v in zip(g, stored, strict=True)]
+        return first, blocks.block_id(data), level, int(n.sum()), center, data, members
+
+    names = ["idx", "child", "level", "n", "embedding", "bytes", "members"]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, held = None, []  # rows of a partition follow each other, over batches too
+        for f in frames:
+            made = []
+            for of, *row in zip(f["part"], f["idx"], f["child"], f["level"], f["n"], f["embedding"], strict=True):
+                if of != part and held:
+                    made.append(branch(held))
+                    held = []
+                part = of
+                held.append(tuple(row))
+            yield pd.DataFrame(made, columns=names)
+        if held:
+            yield pd.DataFrame([branch(held)], columns=names)
 
     spec = NODES + ", bytes binary, members array<struct<child:binary,child_level:int,embedding:array<float>>>"
-    return items.groupBy("part").applyInPandas(run, spec)
+    return items.select("part", "idx", "child", "level", "n", "embedding").repartition("part").sortWithinPartitions("part").mapInPandas(run, spec)
 
 
 def _clustered(layer: DataFrame, bound: int, p: Profile) -> DataFrame:
