@@ -19,7 +19,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dealt(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
-    """A checkpoint dealt by keys that later joins and groups by these know about, so that the rows stay where they are.
+    """A checkpoint dealt by keys that later joins and groups by these know about, so that the rows stay where they are."""
+    return checkpoint_in_place(df.repartition(partitions, *keys))
+
+
+def checkpoint_in_place(df: DataFrame) -> DataFrame:
+    """A checkpoint that is known to be dealt as the rows are.
 
     An adaptive plan doesn't tell how its rows are dealt, so this one isn't.
     """
@@ -27,7 +32,7 @@ def checkpoint_dealt(df: DataFrame, partitions: int, *keys: str) -> DataFrame:
     adaptive = conf.get("spark.sql.adaptive.enabled")
     conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        return checkpoint(df.repartition(partitions, *keys))
+        return checkpoint(df)
     finally:
         conf.set("spark.sql.adaptive.enabled", adaptive)
 
