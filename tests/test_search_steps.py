@@ -26,3 +26,9 @@ def test_frontier_keeps_no_more_leaves_than_results(spark, monkeypatch):
     results, told = search.best_first(indexer.Index(b"root", None, edges), queries, 4, 2)
     assert [(r.position, bytes(r.leaf)) for r in results.orderBy("position").collect()] == [(0, b"\x00"), (1, b"\x01")]
     assert told.first().visited == 1 and kept[-1].where("level = 0").count() == 2
+
+
+def test_sizes_of_blocks_that_were_made_twice(spark):
+    made = spark.createDataFrame([(b"a", b"xyz"), (b"b", b"x"), (b"a", b"xyz")], "block_id binary, bytes binary")
+    got = indexer.Index(b"a", made.dropDuplicates(["block_id"]), None, 2, made).sizes().collect()
+    assert sorted((bytes(r.block_id), r.size) for r in got) == [(b"a", 3), (b"b", 1)]

@@ -37,6 +37,12 @@ class Index:
     edges: DataFrame
     #: Children of a block, at most.
     bound: int = 0
+    #: Blocks as often as they were made.
+    made: DataFrame | None = None
+
+    def sizes(self) -> DataFrame:
+        """block_id and size of all blocks; their bytes aren't moved."""
+        return (self.blocks if self.made is None else self.made).select("block_id", F.length("bytes").alias("size")).dropDuplicates(["block_id"])
 
 
 def leaves(items: DataFrame) -> DataFrame:
@@ -250,7 +256,7 @@ def build(leaf_nodes: DataFrame, version: str = "0.8.0", block_size: int = 16_38
         more = made.where("members IS NOT NULL").select(F.col("child").alias("parent"), "level", F.posexplode("members").alias("pos", "m")).select("parent", "level", "pos", "m.child", "m.child_level", "m.embedding")
         edges = more if edges is None else edges.unionByName(more)
         layer = made.select("idx", "child", "level", "n", "embedding")
-    return Index(bytes(layer.first().child), all_blocks.dropDuplicates(["block_id"]), edges, bound)
+    return Index(bytes(layer.first().child), all_blocks.dropDuplicates(["block_id"]), edges, bound, all_blocks)
 
 
 def level_stats(index: Index) -> DataFrame:

@@ -356,7 +356,7 @@ def _index(spark: SparkSession, sf_dir: str, version: str = "0.8.0") -> indexer.
 @register("index_blocks")
 def index_blocks(spark, sf_dir):
     """Ids and sizes of all blocks of the index."""
-    return _index(spark, sf_dir).blocks.select(F.hex("block_id").alias("block_id"), F.length("bytes").alias("size"))
+    return _index(spark, sf_dir).sizes().select(F.hex("block_id").alias("block_id"), "size")
 
 
 @register("index_level_stats")
